@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from inkwell.llm.common import _IS_WORD, arrow_map, load, text_slices, utf8
 
-EDIT_SHARE = 0.1
+EDIT_SHARE = 0.08
 Q = 8
-WALKS, TABLES, BITS = 4, 24, 5
+WALKS, TABLES, BITS = 4, 32, 5
 CLASS_RATIO = 1.25
 ITEMS_PER_PASS = 20_000
 _TABLE_BITS = 24
@@ -32,7 +32,7 @@ def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def edit_limit(n: int) -> int:
-    """Edits allowed in an item of n bytes: a tenth, and few enough that a match must share a Q-gram with the item."""
+    """Edits allowed in an item of n bytes: EDIT_SHARE of it, and few enough that a match must share a Q-gram with the item."""
     return max(0, min(int(n * EDIT_SHARE), (n - Q) // Q))
 
 
@@ -82,15 +82,16 @@ class LengthClass:
         step, byte) says whether it moves on. Bit sampling keeps BITS steps in each table.
         """
         w = len(starts)
-        walk = np.repeat(np.arange(WALKS), w)
-        at, end = np.tile(starts, WALKS), np.tile(starts + self.span, WALKS)
+        base = np.repeat(np.arange(WALKS, dtype=np.int32) * 256, w)
+        at, end = (np.tile(x, WALKS) for x in (starts, starts + self.span))
+        padded = np.zeros(len(data) + self.steps + 1, np.uint8)
+        padded[: len(data)] = data
         out = np.empty((self.steps, WALKS * w), np.uint8)
-        last = len(data) - 1
         for j in range(self.steps):
-            symbol = np.where(at < end, data[np.minimum(at, last)], np.uint8(0))
-            symbol[at > last] = 0
+            symbol = padded[at]
+            symbol *= at < end
             out[j] = symbol
-            at = at + self.flips[walk, j, symbol]
+            at += self.flips[j].take(base + symbol)
         out = out.reshape(self.steps, WALKS, w)
         keys = np.zeros((WALKS, TABLES, w), np.uint64)
         for b in range(BITS):
@@ -108,9 +109,12 @@ class Benchmark:
         self.items = [data[a : max(a, b - 1)].tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
         usable = sorted((k for k, s in enumerate(self.items) if len(s) >= Q), key=lambda k: len(self.items[k]))
         grams = [np.ndarray((len(s) - Q + 1,), "<u8", s, 0, (1,)).copy() for s in (self.items[k] for k in usable)]
+        self.own_grams = dict(zip(usable, map(np.unique, grams)))
         self.grams = np.unique(np.concatenate(grams)) if grams else np.empty(0, np.uint64)
         self.screen = np.zeros(1 << _TABLE_BITS, bool)
         self.screen[self._slot(self.grams)] = True
+        #: For each Q-gram, a bit for each length class that has an item with it.
+        self.members = np.zeros(len(self.grams), np.uint64)
         self.classes: list[LengthClass] = []
         rng = np.random.default_rng(41)
         while usable:
@@ -119,13 +123,14 @@ class Benchmark:
             usable = usable[len(own) :]
             sizes = [len(self.items[k]) for k in own]
             steps = 2 * low
-            c = LengthClass(own, max(sizes), steps, min(n - Q + 1 - Q * edit_limit(n) for n in sizes), max(n + edit_limit(n) for n in sizes), rng.integers(0, 2, (WALKS, steps, 256)).astype(np.int64), rng.integers(0, steps, (WALKS, TABLES, BITS)))
+            c = LengthClass(own, max(sizes), steps, min(n - Q + 1 - Q * edit_limit(n) for n in sizes), max(n + edit_limit(n) for n in sizes), rng.integers(0, 2, (steps, WALKS * 256)), rng.integers(0, steps, (WALKS, TABLES, BITS)))
             for k in own:
                 text = np.frombuffer(self.items[k] + b" ", np.uint8)
                 for t, key in enumerate(c.keys(text, np.zeros(1, np.int64))[:, 0]):
                     while len(c.tables) <= t:
                         c.tables.append({})
                     c.tables[t].setdefault(int(key), []).append(k)
+            self.members |= np.where(np.isin(self.grams, np.concatenate([self.own_grams[k] for k in own])), np.uint64(1) << np.uint64(len(self.classes)), np.uint64(0))
             c.sorted_keys = [np.array(sorted(t), np.uint64) for t in c.tables]
             self.classes.append(c)
 
@@ -134,7 +139,7 @@ class Benchmark:
         return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
 
     def regions(self, hits: np.ndarray, c: LengthClass) -> tuple[np.ndarray, np.ndarray]:
-        """Byte regions that can hold a match of the class. Lossless: by the Q-gram lemma a substring within the edit limit of
+        """Byte ranges in which a match of the class can begin. Lossless: by the Q-gram lemma a substring within the edit limit of
         an item has `need` positions of the items' Q-grams within `reach` bytes."""
         need = max(1, c.need)
         if len(hits) < need:
@@ -144,10 +149,16 @@ class Benchmark:
         first, last = first[dense], last[dense]
         if not len(first):
             return first, last
-        low, high = last + Q - c.reach, first + c.reach
+        low, high = last + Q - c.reach, first + 1
         new = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1
         return low[np.concatenate([[0], new])], np.maximum.reduceat(high, np.concatenate([[0], new]))
 
+    def can_match(self, text: np.ndarray, item: int) -> bool:
+        """The Q-gram lemma for one item."""
+        n = len(self.items[item])
+        grams = np.ndarray((max(0, len(text) - Q + 1),), "<u8", text, 0, (1,))
+        return int(np.isin(grams, self.own_grams[item]).sum()) >= n - Q + 1 - Q * edit_limit(n)
+
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item number, distance) of each text and item within the item's edit limit."""
         data, bounds = normalised(texts)
@@ -155,24 +166,24 @@ class Benchmark:
             return []
         grams = np.ndarray((len(data) - Q + 1,), "<u8", data, 0, (1,))
         hits = np.flatnonzero(self.screen[self._slot(grams)])
-        hits = hits[np.isin(grams[hits], self.grams)]
+        found_at = np.minimum(np.searchsorted(self.grams, grams[hits]), len(self.grams) - 1)
+        real = self.grams[found_at] == grams[hits]
+        hits, members = hits[real], self.members[found_at[real]]
         if not len(hits):
             return []
         begins = np.empty(len(data), bool)
         begins[0], begins[1:] = True, data[:-1] == 32
         found: dict[tuple[int, int], int] = {}
-        for c in self.classes:
-            wanted: set[tuple[int, int, int, int]] = set()
-            lows, highs = self.regions(hits, c)
-            for low, high in zip(lows, highs):
+        for number, c in enumerate(self.classes):
+            spots = []
+            for low, high in zip(*self.regions(hits[members >> np.uint64(number) & np.uint64(1) == 1], c)):
                 for row in range(int(np.searchsorted(bounds, max(low, 0), "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
                     a, b = max(int(low), int(bounds[row])), min(int(high), int(bounds[row + 1]))
-                    if b - a >= Q:
-                        wanted.add((row, a, b, 0))
-            spots = sorted(wanted)
+                    if b > a:
+                        spots.append((row, a, b))
             if not spots:
                 continue
-            starts = [a + np.flatnonzero(begins[a:b]) for _, a, b, _ in spots]
+            starts = [a + np.flatnonzero(begins[a:b]) for _, a, b in spots]
             owner = np.repeat(np.arange(len(spots)), [len(s) for s in starts])
             flat = np.concatenate(starts).astype(np.int64)
             pairs: set[tuple[int, int]] = set()
@@ -183,14 +194,15 @@ class Benchmark:
                     for i in np.flatnonzero(known[at] == row_keys):
                         pairs.update((int(owner[k + i]), item) for item in c.tables[t][int(row_keys[i])])
             for spot, item in pairs:
-                row, a, b, _ = spots[spot]
-                n = len(self.items[item])
-                limit = edit_limit(n)
+                row, a, b = spots[spot]
+                limit = edit_limit(len(self.items[item]))
                 if found.get((row, item), limit + 1) > 0:
-                    text = data[max(int(bounds[row]), a - limit) : min(int(bounds[row + 1]), b + limit)].tobytes()
-                    d = 0 if self.items[item] in text else best_distance(self.items[item], text)
-                    if d <= limit:
-                        found[row, item] = min(d, found.get((row, item), d))
+                    text = data[max(int(bounds[row]), a - limit) : min(int(bounds[row + 1]), b + c.reach)]
+                    if self.can_match(text, item):
+                        raw = text.tobytes()
+                        d = 0 if self.items[item] in raw else best_distance(self.items[item], raw)
+                        if d <= limit:
+                            found[row, item] = min(d, found.get((row, item), d))
         return sorted((row, item, d) for (row, item), d in found.items())
 
 
@@ -211,7 +223,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, item_id, distance): documents with a passage within the edit limit of a benchmark item.
 
     Texts and items are compared as lower-cased words with single spaces; distance is the edit distance in UTF-8 bytes to
-    the nearest passage found, at most a tenth of the item's length. Windows at every word where the lossless Q-gram
+    the nearest passage found, at most 8 % of the item's length. Windows at every word where the lossless Q-gram
     screen leaves a match possible are embedded by WALKS CGK walks, sampled into TABLES tables each, and verified exactly.
 
     Null doc_id passes through; null and empty texts match nothing; items with null id or text or of under 8 bytes match
