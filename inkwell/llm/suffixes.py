@@ -14,7 +14,7 @@ from inkwell.llm.common import arrow_map, bounded_batches, gram_hashes, load, ma
 
 MIN_WORDS = 50
 Q = 8
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def anchors(grams: np.ndarray, bounds: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
@@ -136,7 +136,7 @@ def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in text_slices(batches, limit=CHUNK_BYTES):
+    for batch in text_slices(batches, limit=CHUNK_BYTES // 4):
         bucket = batch.column("bucket").to_numpy()
         if size >= CHUNK_BYTES:
             cut = int(np.searchsorted(bucket != held[-1].column("bucket")[-1].as_py(), True))
