@@ -15,8 +15,9 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 WORD_SQL = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -58,6 +59,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def quoted(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names have."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
+
+
 def sized(df: DataFrame, rows: int) -> DataFrame:
     """Mark a narrow id table for broadcast when its counted rows are few; beyond that Catalyst shuffles it as any other side."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -66,7 +72,7 @@ def sized(df: DataFrame, rows: int) -> DataFrame:
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in ids(doc_id); rows with a null doc_id stay."""
     ids = materialize(ids.select("doc_id").where("doc_id IS NOT NULL").distinct(), "dropped")
-    return docs.join(sized(ids, ids.count()), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(sized(ids, ids.count()), "doc_id", "left_anti").select(*quoted(docs.columns))
 
 
 def restricted(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -188,9 +194,20 @@ def string_array(values: list) -> pa.Array:
     return pa.array(values, pa.string())
 
 
-def arrow_map(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """fn over Arrow batches of the columns. Columns travel under numbers where a name could be read as a path."""
     bounded_batches(df.sparkSession)
-    return df.select(*columns).mapInArrow(fn, schema)
+    if not any("." in c or "`" in c for c in columns):
+        return df.select(*columns).mapInArrow(fn, schema)
+    fields = schema.fields
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in fn(b.rename_columns(columns) for b in batches):
+            yield out.rename_columns([f"c{k}" for k in range(len(fields))])
+
+    safe = StructType([StructField(f"c{k}", f.dataType, f.nullable) for k, f in enumerate(fields)])
+    moved = df.select(*[c.alias(f"c{k}") for k, c in enumerate(quoted(columns))]).mapInArrow(renamed, safe)
+    return moved.toDF(*[f.name for f in fields])
 
 
 def tokenizer_path(name: str) -> str:

@@ -69,7 +69,7 @@ def decode(margins: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
-    """Fit on at most `per_language` labelled rows of each language, those of smallest hash of doc_id; None without labels."""
+    """Fit on a sample of about 1.2 * `per_language` labelled rows of each language, chosen by hash of doc_id and text; None without labels."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND length(text) >= 20")
     counts = {r["lang"]: r["count"] for r in source.groupBy("lang").count().collect()}
     names = sorted(counts)

@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import IntegerType
 
-from inkwell.llm.common import arrow_map, load, string_array, text_slices
+from inkwell.llm.common import arrow_map, load, quoted, string_array, text_slices
 
 ROUNDS = 10
 #: Only for tests and the demonstration queries; set spark.inkwell.pii.key to a secret for real use.
@@ -222,13 +223,13 @@ def pseudonyms(docs: DataFrame, key: str | None = None) -> DataFrame:
             columns = [text if k == at else c for k, c in enumerate(part.columns)]
             yield pa.record_batch([*columns, pa.array(counts, pa.int32())], [*names, "n_replaced"])
 
-    return arrow_map(docs, names, run, docs.select(*names).schema.add("n_replaced", "int"))
+    return arrow_map(docs, names, run, docs.select(*quoted(names)).schema.add("n_replaced", IntegerType()))
 
 
 def replace_pii(docs: DataFrame) -> DataFrame:
     """docs with pseudonyms() in place of their texts and no further column. Lengths stay, as formats do."""
     counted = pseudonyms(docs.withColumnRenamed("n_replaced", "_n_replaced"))
-    return counted.drop("n_replaced").withColumnRenamed("_n_replaced", "n_replaced").select(*docs.columns)
+    return counted.drop("n_replaced").withColumnRenamed("_n_replaced", "n_replaced").select(*quoted(docs.columns))
 
 
 def op5_pseudonyms(spark, sf_dir):
