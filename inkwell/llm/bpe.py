@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-from inkwell.llm.common import arrow_map, load, text_slices, tokenizer_path
+from inkwell.llm.common import arrow_map, load, quoted, text_slices, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -185,7 +186,7 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
             tokens = pa.ListArray.from_arrays(offsets, values)
             yield pa.record_batch([*(part.column(c) for c in names), tokens, pa.array(size, mask=null), pa.array(same, mask=null)], [*names, "tokens", "n_tokens", "round_trip"])
 
-    schema = docs.select(*names).schema.add("tokens", "array<int>").add("n_tokens", "int").add("round_trip", "boolean")
+    schema = docs.select(*quoted(names)).schema.add("tokens", ArrayType(IntegerType())).add("n_tokens", IntegerType()).add("round_trip", BooleanType())
     return arrow_map(docs, [*names, "text"], run, schema)
 
 
@@ -200,7 +201,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
             texts = [None if t is None or None in t else bpe.decode(t) for t in part.column("tokens").to_pylist()]
             yield pa.record_batch([*part.columns, pa.array(texts, pa.string())], [*names, "text"])
 
-    return arrow_map(encoded, names, run, encoded.select(*names).schema.add("text", "string"))
+    return arrow_map(encoded, names, run, encoded.select(*quoted(names)).schema.add("text", StringType()))
 
 
 def op1_bpe(spark, sf_dir):
