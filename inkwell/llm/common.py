@@ -212,3 +212,9 @@ def arrow_map(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.Recor
 
 def tokenizer_path(name: str) -> str:
     return os.path.join(os.environ.get("INKWELL_TOKENIZERS", "/opt/tokenizers"), name)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has materialised. Call it when no result that reads it is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
