@@ -18,7 +18,7 @@ class Snapshot:
     """An index in a folder that driver and workers share. Single writer; readers keep the version that they opened."""
 
     def __init__(self, spark: SparkSession, store: str | Path):
-        self.spark, self.store = spark, Path(store)
+        self.spark, self.store = spark, Path(store).absolute()
 
     def version(self) -> str | None:
         pointer = self.store / "CURRENT"
