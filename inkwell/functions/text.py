@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,10 +89,18 @@ def windows(text: Column, max_tokens: int = 384, overlap: int = 64) -> Column:
     if max_tokens < 1 or overlap < 0:
         raise ValueError("max_tokens must be at least 1 and overlap at least 0")
     step = max(max_tokens - overlap, 1)
-    split = words(text)
-    starts = F.sequence(F.lit(0), F.ceil((F.size(split) - max_tokens) / F.lit(step)).cast("int"))
-    many = F.transform(starts, lambda k: F.array_join(F.slice(split, k * step + 1, max_tokens), " "))
-    return F.when(F.size(split) == 0, F.array().cast("array<string>")).when(F.size(split) <= max_tokens, F.array(F.array_join(split, " "))).otherwise(many)
+
+    def cut(split: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.ceil((F.size(split) - max_tokens) / F.lit(step)).cast("int"))
+        many = F.transform(starts, lambda k: F.array_join(F.slice(split, k * step + 1, max_tokens), " "))
+        return F.when(F.size(split) == 0, F.array().cast("array<string>")).when(F.size(split) <= max_tokens, F.array(F.array_join(split, " "))).otherwise(many)
+
+    return bound(words(text), cut)
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: a lambda's variable stands for it, where plain nesting would repeat it for each use."""
+    return F.transform(F.array(value), use)[0]
 
 
 def embed_input(heading_path: Column, text: Column) -> Column:

@@ -30,10 +30,9 @@ class Report:
 
 def chunk_rows(docs: DataFrame, max_tokens: int, overlap: int) -> DataFrame:
     """(path, ord, heading_path, text): windows of each section of `body`, numbered through the document."""
-    pairs = docs.select("path", F.posexplode(section_structs(F.col("body"))).alias("section", "s"))
-    windowed = pairs.select("path", "section", F.col("s.heading_path").alias("heading_path"), F.posexplode(T.windows(F.col("s.text"), max_tokens, overlap)).alias("part", "text"))
-    whole = windowed.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("section", "part", "heading_path", "text"))).alias("c"))
-    return whole.select("path", F.posexplode("c").alias("ord", "x")).select("path", "ord", "x.heading_path", "x.text")
+    sections = docs.select("path", section_structs(F.col("body")).alias("sections"))
+    pieces = F.transform("sections", lambda s: F.transform(T.windows(s["text"], max_tokens, overlap), lambda w: F.struct(s["heading_path"].alias("heading_path"), w.alias("text"))))
+    return sections.select("path", F.posexplode(F.flatten(pieces)).alias("ord", "x")).select("path", "ord", "x.heading_path", "x.text")
 
 
 def ship(spark: SparkSession) -> None:
