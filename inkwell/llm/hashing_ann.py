@@ -87,6 +87,7 @@ class Index:
 
     def __init__(self, code: np.ndarray):
         self.code = code
+        self.columns = [np.ascontiguousarray(c) for c in code.T]
         self.order = [np.argsort(c, kind="stable") for c in code.T]
         self.values = [np.unique(c[o], return_index=True) for c, o in zip(code.T, self.order)]
         self.masks: dict[int, np.ndarray] = {}
@@ -96,35 +97,42 @@ class Index:
             self.masks[radius] = np.array([sum(1 << b for b in bits) for d in range(radius + 1) for bits in combinations(range(SUBSTRING_BITS), d)], np.uint16)
         return self.masks[radius]
 
-    def within(self, query: np.ndarray, radius: int) -> np.ndarray:
-        """Rows of all codes within the Hamming radius of the query's code.
+    def within(self, queries: np.ndarray, radius: int) -> list[np.ndarray]:
+        """For each query code the rows of all codes within the Hamming radius.
 
         Pigeonhole: with m substrings and radius = m*a + b, a code within it is within a of the query in one of the first
         b+1 substrings, or within a-1 in one of the others. Buckets are probed by value while there are fewer values to
-        probe than buckets; else the buckets' values are compared. Both find the same rows.
+        probe than buckets; else the substring of every code is compared. Both find the same rows.
         """
         m = self.code.shape[1]
         a, b = divmod(radius, m)
-        hit = np.zeros(len(self.code), bool)
-        for j in range(m):
-            near = a if j <= b else a - 1
-            if near < 0:
-                continue
-            values, starts = self.values[j]
-            if near <= 3 and len(self._masks(near)) < len(values):
+        limits = [a if j <= b else a - 1 for j in range(m)]
+        if all(near < 0 or near <= 3 and len(self._masks(near)) < len(self.values[j][0]) for j, near in enumerate(limits)):
+            return [self._probed(q, limits, radius) for q in queries]
+        out = []
+        for k in range(0, len(queries), 64):
+            part = queries[k : k + 64]
+            hit, total = np.zeros((len(part), len(self.code)), bool), np.zeros((len(part), len(self.code)), np.uint8 if m * SUBSTRING_BITS < 256 else np.uint16)
+            for j, near in enumerate(limits):
+                d = np.bitwise_count(part[:, j, None] ^ self.columns[j])
+                total += d
+                if near >= 0:
+                    hit |= d <= near
+            hit &= total <= radius
+            out += [np.flatnonzero(h) for h in hit]
+        return out
+
+    def _probed(self, query: np.ndarray, limits: list[int], radius: int) -> np.ndarray:
+        found = [np.empty(0, np.int64)]
+        for j, near in enumerate(limits):
+            if near >= 0:
+                values, starts = self.values[j]
                 probes = query[j] ^ self._masks(near)
                 at = np.minimum(np.searchsorted(values, probes), len(values) - 1)
-                found = at[values[at] == probes]
-            else:
-                found = np.flatnonzero(np.bitwise_count(values ^ query[j]) <= near)
-            ends = np.append(starts[1:], len(self.code))
-            for k in found if len(found) < 64 else ():
-                hit[self.order[j][starts[k] : ends[k]]] = True
-            if len(found) >= 64:
-                chosen = np.zeros(len(values), bool)
-                chosen[found] = True
-                hit[self.order[j][np.repeat(chosen, ends - starts)]] = True
-        rows = np.flatnonzero(hit)
+                at = at[values[at] == probes]
+                ends = np.append(starts[1:], len(self.code))
+                found += [self.order[j][starts[k] : ends[k]] for k in at]
+        rows = np.unique(np.concatenate(found))
         return rows[np.bitwise_count(self.code[rows] ^ query).sum(axis=1) <= radius]
 
 
@@ -181,13 +189,13 @@ def nearest(embeddings: DataFrame, k: int = 10) -> DataFrame:
         x, y = (np.stack(f["v"]).astype(np.float32) for f in (a, b))
         ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
         index, out = Index(codes(y, mean, rotations)), []
-        for q, code in enumerate(codes(x, mean, rotations)):
-            rows = index.within(code, radius)
+        code = codes(x, mean, rotations)
+        for q, rows in ((k + i, r) for k in range(0, len(x), 64) for i, r in enumerate(index.within(code[k : k + 64], radius))):
             rows = rows[others[rows] != ids[q]]
             s = np.round(y[rows].astype(np.float64) @ x[q].astype(np.float64), 9)
             best = np.lexsort((others[rows], -s))[:k]
-            out.append(pd.DataFrame({"vec_id": ids[q], "neighbour_id": others[rows[best]], "cosine": s[best]}))
-        return pd.concat([none, *out])
+            out.append((np.full(len(best), ids[q]), others[rows[best]], s[best]))
+        return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*out)))))
 
     bounded_batches(embeddings.sparkSession)
     found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "vec_id long, neighbour_id long, cosine double")
