@@ -12,8 +12,7 @@ from inkwell.functions.vectors import dot, literal
 
 def scored(vectors: DataFrame, vector: Column, query: Column) -> DataFrame:
     """vectors with `score`; NaN becomes -inf, since it never beats another score."""
-    s = dot(vector, query)
-    return vectors.withColumn("score", F.when(F.isnan(s), F.lit(float("-inf"))).otherwise(s))
+    return vectors.withColumn("score", F.nanvl(dot(vector, query), F.lit(float("-inf"))))
 
 
 def best_per_group(rows: DataFrame, keys: Sequence[str], payload: Sequence[str], order: str) -> DataFrame:
