@@ -11,6 +11,7 @@ from inkwell.functions import text as T
 from inkwell.functions.markdown import section_structs
 from inkwell.functions.vectors import dot, is_unit, literal
 from inkwell.operators.changes import change_actions, counts_by_root, first_root_wins, paths_for_roots, pruned, replaced, status
+from inkwell.operators.partitions import spread
 from inkwell.operators.search import best_per_group as best_rows
 from inkwell.operators.search import scored, top_k
 from inkwell.plans.indexer import ship
@@ -170,7 +171,7 @@ _WORDS_ONLY = r"array_to_string(regexp_extract_all(text, '[A-Za-z]+'), ' ')"
 )
 def heading_trail(spark, sf_dir):
     """Sections of notes with ATX and setext headings around the letters of each text."""
-    d = _table(spark, sf_dir, "documents")
+    d = spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
     t = F.array_join(F.regexp_extract_all(F.col("text"), F.lit(r"([A-Za-z]+)")), " ")
     nl = F.lit("\n\n")
     note = F.concat(t, nl, F.lit("# "), F.col("source"), nl, t, F.lit(" **one**"), nl, F.lit("## "), F.col("lang"), F.lit(" ##"), nl, t, F.lit(" `two`"), nl, F.lit("Last\n====\n\nend\n"))
