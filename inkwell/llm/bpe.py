@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType
 
-from inkwell.llm.common import arrow_map, load, quoted, text_slices, tokenizer_path
+from inkwell.llm.common import arrow_map, load_spread, quoted, text_slices, tokenizer_path
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,4 +205,4 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1_bpe(spark, sf_dir):
-    return encode(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return encode(load_spread(spark, sf_dir, "documents", "doc_id", "text"))

@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from inkwell.operators.partitions import spread
+
 WORD_SQL = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 ROOT = str(Path(__file__).resolve().parents[2])
 SLICE_BYTES = 2 << 20
@@ -29,6 +31,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def load_spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """A table, or some columns of it, for work in Python: a few files are spread over all cores."""
+    scan = load(spark, sf_dir, table)
+    return spread(scan.select(*columns) if columns else scan)
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, so that a run of very long texts cannot fill a Python worker; let workers import this package."""
     paths = spark.sparkContext.environment.setdefault("PYTHONPATH", "")

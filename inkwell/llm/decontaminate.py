@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import _IS_WORD, arrow_map, load, text_slices, utf8
+from inkwell.llm.common import _IS_WORD, arrow_map, load, load_spread, text_slices, utf8
 
 EDIT_SHARE = 0.08
 Q = 8
@@ -263,4 +263,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op8_leaks(spark, sf_dir):
-    return leaks(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return leaks(load_spread(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "benchmark"))

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_map, load, text_slices, utf8
+from inkwell.llm.common import arrow_map, load_spread, text_slices, utf8
 
 BINS = 4096
 PER_LANGUAGE = 1000
@@ -128,4 +128,4 @@ def identify(docs: DataFrame, model: dict | None = None, margin: float = MARGIN)
 
 
 def op10_language_id(spark, sf_dir):
-    return identify(load(spark, sf_dir, "documents"))
+    return identify(load_spread(spark, sf_dir, "documents", "doc_id", "text", "lang"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_map, bounded_batches, gram_hashes, materialize, mix64, restricted, shingles, text_slices, without, word_hashes
+from inkwell.llm.common import arrow_map, bounded_batches, gram_hashes, load_spread, materialize, mix64, restricted, shingles, text_slices, without, word_hashes
 from inkwell.llm.components import components
 
 SHINGLE = 2
@@ -122,9 +122,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
 
 
 def op2_near_duplicates(spark, sf_dir):
-    from inkwell.llm.common import load
-
-    return near_duplicates(load(spark, sf_dir, "documents"))
+    return near_duplicates(load_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 OP2_SQL = r"""

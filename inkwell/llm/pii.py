@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import IntegerType
 
-from inkwell.llm.common import arrow_map, load, quoted, string_array, text_slices
+from inkwell.llm.common import arrow_map, load_spread, quoted, string_array, text_slices
 
 ROUNDS = 10
 #: Only for tests and the demonstration queries; set spark.inkwell.pii.key to a secret for real use.
@@ -233,4 +233,4 @@ def replace_pii(docs: DataFrame) -> DataFrame:
 
 
 def op5_pseudonyms(spark, sf_dir):
-    return pseudonyms(load(spark, sf_dir, "documents"))
+    return pseudonyms(load_spread(spark, sf_dir, "documents"))
