@@ -10,13 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_map, load, materialize, sized, span_hashes, text_slices, utf8, word_spans
+from inkwell.llm.common import arrow_map, load, load_spread, materialize, sized, span_hashes, text_slices, utf8, word_spans
 
 BINS = 1 << 20
-SAMPLE = 16_000
+SAMPLE = 10_000
 FACTORS = 4
 META = 64
 Z_MIN, DF_MIN = 4.0, 5
+#: Word features of each head: those that tell the classes apart best.
+WORDS_OF_HEAD = 512
 
 
 def words_and_stats(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +56,7 @@ def interact(linear: np.ndarray, factors: np.ndarray, x: np.ndarray) -> np.ndarr
 def fit_head(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> dict:
     """Logistic FM by mini-batch AdaGrad over dense rows."""
     rng = np.random.default_rng(seed)
-    p = {"b": np.zeros(1), "w": np.zeros(x.shape[1]), "v": rng.normal(0, 0.01, (x.shape[1], FACTORS))}
+    p = {"b": np.zeros(1, np.float32), "w": np.zeros(x.shape[1], np.float32), "v": rng.normal(0, 0.01, (x.shape[1], FACTORS)).astype(np.float32)}
     total = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     for _ in range(epochs):
         order = rng.permutation(len(x))
@@ -89,25 +91,26 @@ class Model:
 
     def score(self, head: str, x: np.ndarray) -> np.ndarray:
         p = self.heads[head]
-        return 1 / (1 + np.exp(-np.clip(p["b"] + interact(p["w"], p["v"], x), -30, 30)))
+        return 1 / (1 + np.exp(-np.clip((p["b"] + interact(p["w"], p["v"], x)).astype(np.float64), -30, 30)))
 
 
 def telling(words: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Word buckets whose document frequency differs between the classes by Z_MIN standard errors, in DF_MIN documents at least."""
-    pairs = np.unique(rows.astype(np.int64) * BINS + words)
-    word, label = pairs % BINS, y[pairs // BINS]
-    df, pos = np.bincount(word, minlength=BINS), np.bincount(word, weights=label, minlength=BINS)
+    """Word buckets whose document frequency differs between the classes by Z_MIN standard errors, in DF_MIN documents at
+    least; the WORDS_OF_HEAD with the largest difference. Words are distinct in each row."""
+    df, pos = np.bincount(words, minlength=BINS), np.bincount(words[y[rows] > 0], minlength=BINS)
     rate = y.mean()
     z = (pos - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate), 1e-9))
-    return np.flatnonzero((df >= DF_MIN) & (np.abs(z) >= Z_MIN))
+    z = np.where(df >= DF_MIN, np.abs(z), 0)
+    best = np.lexsort((np.arange(BINS), -z))[:WORDS_OF_HEAD]
+    return best[z[best] >= Z_MIN]
 
 
 def fit(words: list[np.ndarray], stats: np.ndarray, meta: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> Model:
     flat, bounds = np.concatenate(words), np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    rows = np.repeat(np.arange(len(words)), np.diff(bounds))
+    rows = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(bounds))
     chosen = np.unique(np.concatenate([telling(flat, rows, y) for y in (quality, toxic)]))
     model = Model(chosen.astype(np.int32), stats.mean(axis=0), stats.std(axis=0) + 1e-3)
-    x = model.features(flat, bounds, stats, meta).astype(np.float64)
+    x = model.features(flat, bounds, stats, meta)
     model.heads = {"quality": fit_head(x, quality), "toxic": fit_head(x, toxic)}
     return model
 
@@ -132,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | N
         return None
     table = table.sort_by([("doc_id", "ascending"), ("words", "ascending")])
     unpack = lambda c, t: [np.frombuffer(v, t) for v in table.column(c).to_pylist()]
-    q, t = (table.column(c).to_numpy().astype(float) for c in ("quality", "toxic"))
+    q, t = (table.column(c).to_numpy().astype(np.float32) for c in ("quality", "toxic"))
     return fit(unpack("words", np.int32), np.stack(unpack("stats", np.float32)), np.stack(unpack("meta", np.int16)).astype(np.int64), q, t)
 
 
@@ -168,7 +171,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = Non
 
 
 def op7_quality(spark, sf_dir):
-    return quality_scores(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    return quality_scores(load_spread(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"), load(spark, sf_dir, "labels"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
