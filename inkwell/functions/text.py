@@ -24,8 +24,7 @@ def trimmed(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a final line end opens no further line."""
-    parts = F.split(text, LINE_END)
-    return F.when(F.try_element_at(parts, F.lit(-1)) == "", F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+    return bound(F.split(text, LINE_END), lambda p: F.when(F.try_element_at(p, F.lit(-1)) == "", F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0)))).otherwise(p))
 
 
 def frontmatter(content: Column) -> Column:
@@ -54,7 +53,8 @@ def first_h1(text: Column) -> Column:
         found = F.when(~fence & ~state["code"] & line.startswith("# "), F.nullif(trimmed(F.substring(line, 3, 1 << 30)), F.lit("")))
         return F.struct(F.when(fence, ~state["code"]).otherwise(state["code"]).alias("code"), F.coalesce(state["title"], found).alias("title"))
 
-    return F.aggregate(F.transform(lines(text), lambda x: F.regexp_replace(x, r"(?U)^\s+", "")), start, step, lambda s: s["title"])
+    telling = F.filter(lines(text), lambda x: x.rlike(r"(?U)^\s*(?:# |```|~~~)"))
+    return F.aggregate(F.transform(telling, lambda x: F.regexp_replace(x, r"(?U)^\s+", "")), start, step, lambda s: s["title"])
 
 
 def file_stem(path: Column) -> Column:

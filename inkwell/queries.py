@@ -106,7 +106,7 @@ _NOTE_SQL = r"""SELECT doc_id, source, CASE doc_id % 5
 
 def _notes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's texts as Markdown notes of five kinds."""
-    d, nl = _table(spark, sf_dir, "documents"), F.lit("\n")
+    d, nl = spread(_table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")), F.lit("\n")
     c, text, lang, source = F.concat, F.col("text"), F.col("lang"), F.col("source")
     kinds = [
         c(F.lit("# "), source, nl, nl, text),
