@@ -24,7 +24,7 @@ _PLAIN = re.compile("[^\t-\r -~À-ÖØ-öø-ſ–—‘-”…]")
 _EXACT = regex.compile(SPLIT)
 #: Words kept in each of two generations; the older one goes when the newer is full, and a word met again moves over.
 CACHE_WORDS = 200_000
-FITS = 1_000_000
+FITS = 500_000
 
 
 def split_words(text: str) -> list[str]:

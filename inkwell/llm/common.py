@@ -6,6 +6,7 @@ The same runs are `regexp_extract_all(lower(text), WORD_SQL)` in SQL.
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -23,7 +24,7 @@ from inkwell.operators.partitions import spread
 
 WORD_SQL = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 ROOT = str(Path(__file__).resolve().parents[2])
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BROADCAST_ROWS = 1_000_000
 
 
@@ -42,7 +43,7 @@ def bounded_batches(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.setdefault("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, paths]))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
@@ -202,13 +203,26 @@ def string_array(values: list) -> pa.Array:
     return pa.array(values, pa.string())
 
 
+def frugal(fn: Callable) -> Callable:
+    """fn over batches, after which the worker gives freed memory back to the system, where the C library can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def arrow_map(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """fn over Arrow batches of the columns. Columns travel under numbers where a name could be read as a path."""
     bounded_batches(df.sparkSession)
     if not any("." in c or "`" in c for c in columns):
-        return df.select(*columns).mapInArrow(fn, schema)
+        return df.select(*columns).mapInArrow(frugal(fn), schema)
     fields = schema.fields
 
+    @frugal
     def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in fn(b.rename_columns(columns) for b in batches):
             yield out.rename_columns([f"c{k}" for k in range(len(fields))])

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_map, bounded_batches, gram_hashes, load_spread, materialize, mix64, restricted, shingles, text_slices, without, word_hashes
+from inkwell.llm.common import arrow_map, bounded_batches, frugal, gram_hashes, load_spread, materialize, mix64, restricted, shingles, text_slices, without, word_hashes
 from inkwell.llm.components import components
 
 SHINGLE = 2
@@ -76,7 +76,7 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
     bounded_batches(docs.sparkSession)
-    return both.mapInArrow(_jaccard, "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
+    return both.mapInArrow(frugal(_jaccard), "a long, b long, jaccard double").where(F.col("jaccard") >= threshold)
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
