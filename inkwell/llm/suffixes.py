@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -10,11 +11,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkwell.llm.common import arrow_map, bounded_batches, gram_hashes, load, materialize, restricted, span_hashes, text_slices, utf8, word_hashes, word_spans
+from inkwell.llm.common import arrow_map, bounded_batches, frugal, gram_hashes, load_spread, materialize, restricted, span_hashes, text_slices, utf8, word_hashes, word_spans
 
 MIN_WORDS = 50
 Q = 8
 CHUNK_BYTES = 1 << 20
+#: A bucket of more anchors than this is sorted in parts of about as many, and its windows are then compared across parts.
+PART = 20_000
 
 
 def anchors(grams: np.ndarray, bounds: np.ndarray, min_words: int = MIN_WORDS) -> np.ndarray:
@@ -25,17 +28,25 @@ def anchors(grams: np.ndarray, bounds: np.ndarray, min_words: int = MIN_WORDS) -
     w = min_words - Q + 1
     if len(grams) < w:
         return np.empty(0, np.int64)
+    least = np.concatenate([_least(grams[k : k + _PIECE + w - 1], w) + k for k in range(0, len(grams) - w + 1, _PIECE)])
+    text = np.searchsorted(bounds, np.arange(len(least)), "right")
+    whole = np.arange(len(least)) + min_words <= bounds[np.minimum(text, len(bounds) - 1)]
+    return np.unique(least[whole])
+
+
+_PIECE = 1 << 22
+
+
+def _least(grams: np.ndarray, w: int) -> np.ndarray:
+    """Place of the least of each w consecutive grams: 40 bits of it, packed over its place, by minima to and from the ends of blocks of w."""
     packed = (grams >> np.uint64(24) << np.uint64(24)) | np.arange(len(grams), dtype=np.uint64)
-    n = -(-len(packed) // w) * w
-    padded = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+    padded = np.full(-(-len(packed) // w) * w, np.iinfo(np.uint64).max, np.uint64)
     padded[: len(packed)] = packed
     blocks = padded.reshape(-1, w)
     ahead = np.minimum.accumulate(blocks, axis=1).ravel()
     behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
     least = np.minimum(behind[: len(packed) - w + 1], ahead[w - 1 : len(packed)])
-    text = np.searchsorted(bounds, np.arange(len(least)), "right")
-    whole = np.arange(len(least)) + min_words <= bounds[np.minimum(text, len(bounds) - 1)]
-    return np.unique(least[whole] & np.uint64((1 << 24) - 1)).astype(np.int64)
+    return (least & np.uint64((1 << 24) - 1)).astype(np.int64)
 
 
 def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,12 +58,12 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([part.column("doc_id").take(pa.array(row)), pa.array(grams[at].view(np.int64)), pa.array((at - bounds[row]).astype(np.int32))], ["doc_id", "bucket", "pos"])
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _contexts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """For each anchor of a bucket that several documents share, the words that its windows span."""
     for part in text_slices(batches):
         data, offsets = utf8(pc.utf8_lower(part.column("text").cast(pa.large_string())))
         starts, ends, bounds = word_spans(data, offsets)
-        ids, buckets, firsts, texts = [], [], [], []
+        ids, buckets, parts, firsts, texts = [], [], [], [], []
         raw = data.tobytes()
         for row, (doc, marks) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("anchors").to_pylist())):
             a, b = int(bounds[row]), int(bounds[row + 1])
@@ -61,9 +72,11 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if high - low >= MIN_WORDS:
                     ids.append(doc)
                     buckets.append(mark["bucket"])
+                    parts.append(hash((doc, mark["pos"])) % -(-mark["n"] // most) if mark["n"] > most else -1)
                     firsts.append(low - a)
                     texts.append(raw[starts[low] : ends[high - 1]])
-        yield pa.record_batch([pa.array(buckets, pa.int64()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())], ["bucket", "doc_id", "first", "text"])
+        columns = [pa.array(buckets, pa.int64()), pa.array(parts, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int32()), pa.array(texts, pa.binary()).cast(pa.string())]
+        yield pa.record_batch(columns, ["bucket", "part", "doc_id", "first", "text"])
 
 
 def refine(words: np.ndarray, bounds: np.ndarray, depth: int = MIN_WORDS) -> np.ndarray:
@@ -104,58 +117,88 @@ def refine(words: np.ndarray, bounds: np.ndarray, depth: int = MIN_WORDS) -> np.
     return pointer
 
 
-def repeats(words: np.ndarray, bounds: np.ndarray, docs: np.ndarray, depth: int = MIN_WORDS) -> np.ndarray:
-    """Starts of the windows of `depth` words that occur under two or more document ids."""
+def classes(words: np.ndarray, bounds: np.ndarray, docs: np.ndarray, depth: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts of all windows of `depth` words in order of their content, bounds of equal ones, and which of these groups have two or more document ids."""
     room = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(len(words))
     at = np.flatnonzero(room >= depth)
     if not len(at):
-        return at
+        return at, np.zeros(1, np.int64), np.empty(0, bool)
     pointer = refine(words, bounds, depth)[at]
     owner = np.repeat(docs, np.diff(bounds))[at]
     order = np.lexsort((owner, pointer))
     pointer, owner, at = pointer[order], owner[order], at[order]
     edge = np.flatnonzero(np.concatenate([[True], pointer[1:] != pointer[:-1], [True]]))
-    shared = owner[edge[:-1]] != owner[edge[1:] - 1]
+    return at, edge, owner[edge[:-1]] != owner[edge[1:] - 1]
+
+
+def repeats(words: np.ndarray, bounds: np.ndarray, docs: np.ndarray, depth: int = MIN_WORDS) -> np.ndarray:
+    """Starts of the windows of `depth` words that occur under two or more document ids."""
+    at, edge, shared = classes(words, bounds, docs, depth)
     return np.sort(at[np.repeat(shared, np.diff(edge))])
 
 
-def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Spans of repeated windows in each context. Rows come sorted by bucket; a chunk ends where a bucket does."""
+_OUT = ["doc_id", "start", "stop", "h1", "h2"]
+
 
-    def chunk(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+def _spans(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Spans of repeated windows in each context. Rows come sorted by bucket and part; a chunk ends where a part does.
+
+    Windows of a bucket in parts also give a row with a 128-bit hash: one for each group of equal ones, which stands for
+    the part, or where the part has them under one document only, one for each.
+    """
+
+    def chunk(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(rows).combine_chunks()
         data, offsets = utf8(table.column("text").combine_chunks())
         starts, ends, bounds = word_spans(data, offsets)
-        docs, first = table.column("doc_id").to_numpy(), table.column("first").to_numpy()
-        at = repeats(span_hashes(data, starts, ends), bounds, docs)
-        row = np.searchsorted(bounds, at, "right") - 1
-        head = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row) != 0)]) if len(at) else np.empty(0, bool)
-        begin, end = at[head], at[np.concatenate([head[1:], [True]])] if len(at) else at
-        row = row[head]
-        return pa.record_batch([pa.array(docs[row]), pa.array((first[row] + begin - bounds[row]).astype(np.int64)), pa.array((first[row] + end - bounds[row] + MIN_WORDS).astype(np.int64))], ["doc_id", "start", "stop"])
+        docs, first, part = (table.column(c).to_numpy() for c in ("doc_id", "first", "part"))
+        words = span_hashes(data, starts, ends)
+        at, edge, shared = classes(words, bounds, docs)
+        place = lambda x: (r := np.searchsorted(bounds, x, "right") - 1, first[r] + x - bounds[r])
+        split = np.flatnonzero(part[place(at)[0]] >= 0) if (part >= 0).any() else np.empty(0, np.int64)
+        if len(split):
+            group = np.repeat(np.arange(len(shared)), np.diff(edge))
+            leading = np.zeros(len(at), bool)
+            leading[edge[:-1]] = True
+            split = split[leading[split] | ~shared[group[split]]]
+            chosen = at[split]
+            row, start = place(chosen)
+            single = ~shared[group[split]]
+            h1, h2 = (gram_hashes(w, MIN_WORDS)[chosen].view(np.int64) for w in (words, words * np.uint64(0x9E3779B97F4A7C15) ^ (words >> np.uint64(29))))
+            yield pa.record_batch([pa.array(docs[row]), pa.array(start.astype(np.int64), mask=~single), pa.array(start.astype(np.int64) + MIN_WORDS), pa.array(h1), pa.array(h2)], _OUT)
+        at = np.sort(at[np.repeat(shared, np.diff(edge))])
+        if len(at):
+            row = place(at)[0]
+            head = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(row) != 0)])
+            begin, end = at[head], at[np.concatenate([head[1:], [True]])]
+            (row, low), high = place(begin), place(end)[1] + MIN_WORDS
+            none = pa.nulls(len(row), pa.int64())
+            yield pa.record_batch([pa.array(docs[row]), pa.array(low.astype(np.int64)), pa.array(high.astype(np.int64)), none, none], _OUT)
 
     held: list[pa.RecordBatch] = []
     size = 0
-    for batch in text_slices(batches, limit=CHUNK_BYTES // 4):
-        bucket = batch.column("bucket").to_numpy()
-        if size >= CHUNK_BYTES:
-            cut = int(np.searchsorted(bucket != held[-1].column("bucket")[-1].as_py(), True))
-            if cut < len(bucket):
-                yield chunk([*held, batch.slice(0, cut)])
+    for batch in text_slices(batches, limit=max(1, chunk_bytes // 4)):
+        if size >= chunk_bytes:
+            last = held[-1].slice(held[-1].num_rows - 1)
+            same = np.logical_and.reduce([batch.column(c).to_numpy() == last.column(c)[0].as_py() for c in ("bucket", "part")])
+            cut = int(np.argmin(same)) if not same.all() else len(same)
+            if cut < len(same):
+                yield from chunk([*held, batch.slice(0, cut)])
                 held, size, batch = [], 0, batch.slice(cut)
         held.append(batch)
         size += batch.nbytes
     if held:
-        yield chunk(held)
+        yield from chunk(held)
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, part: int = PART, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """(doc_id, start_word, n_words): maximal spans covered by windows of 50 words that also occur in another document.
 
     Words are lower-cased runs of letters and digits, counted from 0. Every window of 50 words is compared: windows are
     brought together by their anchor (anchors()), a Q-gram that depends on the window alone, and the suffixes of the
-    words around the anchors of a shared bucket are sorted to 50 words by bucket-pointer refinement (refine()). All
-    occurrences are reported, the first among them; spans that overlap or touch are joined.
+    words around the anchors of a shared bucket are sorted to 50 words by bucket-pointer refinement (refine()). A bucket of
+    more than `part` anchors is sorted in parts, whose windows meet by hash afterwards, so that no task grows with a passage's
+    copies. All occurrences are reported, the first among them; spans that overlap or touch are joined.
 
     Rows with null doc_id or text are left out; texts under 50 words have no window; a passage that only repeats within
     one doc_id, repeated rows of it included, is not reported, and spans of rows that share a doc_id are joined. Further columns
@@ -164,12 +207,16 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
     found = arrow_map(source, ["doc_id", "text"], _anchored, "doc_id long, bucket long, pos int")
     at = Window.partitionBy("bucket")
-    shared = found.withColumns({"low": F.min("doc_id").over(at), "high": F.max("doc_id").over(at)}).where("low <> high")
-    marked = materialize(shared.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos")).alias("anchors")), "anchors")
+    shared = found.withColumns({"low": F.min("doc_id").over(at), "high": F.max("doc_id").over(at), "n": F.count("*").over(at)}).where("low <> high")
+    marked = materialize(shared.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos", "n")).alias("anchors")), "anchors")
     texts = restricted(source, marked.select("doc_id"))
     bounded_batches(docs.sparkSession)
-    around = texts.join(marked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(_contexts, "bucket long, doc_id long, first int, text string")
-    spans = around.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_spans, "doc_id long, start long, stop long").distinct()
+    around = texts.join(marked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(frugal(partial(_contexts, most=part)), "bucket long, part int, doc_id long, first int, text string")
+    sorted_ = around.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    found = materialize(sorted_.mapInArrow(frugal(partial(_spans, chunk_bytes=chunk_bytes)), "doc_id long, start long, stop long, h1 long, h2 long"), "spans")
+    same = Window.partitionBy("h1", "h2")
+    across = found.where("h1 IS NOT NULL").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).where("low <> high AND start IS NOT NULL")
+    spans = found.where("h1 IS NULL").select("doc_id", "start", "stop").unionByName(across.select("doc_id", "start", "stop")).distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     joined = spans.withColumn("head", F.when(before.isNull() | (F.col("start") > before), 1).otherwise(0)).withColumn("part", F.sum("head").over(order))
@@ -177,7 +224,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
 
 
 def op9_repeated_passages(spark, sf_dir):
-    return repeated_passages(load(spark, sf_dir, "documents"))
+    return repeated_passages(load_spread(spark, sf_dir, "documents", "doc_id", "text"))
 
 
 OP9_SQL = r"""

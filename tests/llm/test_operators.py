@@ -170,6 +170,14 @@ def test_pseudonyms_keep_the_format(kind, value):
     assert kind != "iban" or pii._iban(f, new) != new
 
 
+def test_long_runs_and_neighbours():
+    f = pii.Feistel("k")
+    run = "a1B2" * 100_000
+    assert pii.pseudonymised(f, f"{run} 12 {run}")[1] == 0
+    text, n = pii.pseudonymised(f, "+1 (269) 555-3296 4524132264652876 555 .jo@x.org, 4111 1111 1111 1111 555")
+    assert n == 3 + (pii.luhn([int(c) for c in "452413226465287"]) == 6) and text.endswith(" 555") and "jo@" not in text
+
+
 @pytest.mark.parametrize("value", ["4111111111111112", "999.1.1.1", "127.0.0.1", "2023-02-30", "000-12-3456", "DE00 3704 0044 0532 0130 00", "version 4.0.", "12345", "a@b"])
 def test_invalid_values_stay(value):
     assert pii.pseudonymised(pii.Feistel("k"), value) == (value, 0)
@@ -209,8 +217,8 @@ def test_nearest_has_recall(spark):
 def test_index_finds_every_code(radius):
     code = np.random.default_rng(6).integers(0, 64, (500, 4)).astype(np.uint16) * 1021
     index = hashing_ann.Index(code)
-    for q in code[:20]:
-        assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(code ^ q).sum(axis=1) <= radius).tolist()
+    for q, rows in zip(code[:70], index.within(code[:70], radius)):
+        assert rows.tolist() == np.flatnonzero(np.bitwise_count(code ^ q).sum(axis=1) <= radius).tolist()
 
 
 # ---- 7 ----
@@ -336,6 +344,15 @@ def test_repeated_passages_equal_brute_force(spark):
     got = sorted(tuple(r) for r in suffixes.repeated_passages(docs).collect())
     assert got == brute_spans(rows, suffixes.MIN_WORDS) and len(got) > 20
     assert suffixes.repeated_passages(table(spark, [])).count() == 0
+    assert sorted(tuple(r) for r in suffixes.repeated_passages(docs, part=3, chunk_bytes=4096).collect()) == got
+
+
+def test_anchors_are_the_least_grams():
+    rng = np.random.default_rng(14)
+    grams, bounds = rng.integers(0, 40, 700).astype(np.uint64) << np.uint64(50), np.array([0, 30, 300, 707])
+    w = suffixes.MIN_WORDS - suffixes.Q + 1
+    want = {s + int(np.argmin(grams[s : s + w])) for a, b in ((30, 300), (300, 707)) for s in range(a, b - suffixes.MIN_WORDS + 1)}
+    assert set(suffixes.anchors(grams, bounds).tolist()) == want
 
 
 def test_refinement_sorts_to_the_depth():
