@@ -39,7 +39,7 @@ def _query_vector(vectors: DataFrame, vec_id: int = 0):
     return literal(vectors.where(F.col("vec_id") == vec_id).first()["embedding"])
 
 
-# ---- vectors -------------------------------------------------------------------------------------------------------
+# --- vectors
 
 _DOT = "list_inner_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[])"
 _SCORED = f"SELECT e.vec_id, e.label, {_DOT} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
@@ -94,7 +94,7 @@ def related_documents(spark, sf_dir):
     return top_k(rows.groupBy("vec_id").agg(F.max("score").alias("score")), 10, "vec_id").select("vec_id", F.round("score", 6).alias("score"))
 
 
-# ---- text ----------------------------------------------------------------------------------------------------------
+# --- text
 
 _NOTE_SQL = r"""SELECT doc_id, source, CASE doc_id % 5
   WHEN 0 THEN '# ' || source || chr(10) || chr(10) || text
@@ -192,7 +192,7 @@ def content_hash_groups(spark, sf_dir):
     return _table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
-# ---- snapshots -----------------------------------------------------------------------------------------------------
+# --- snapshots
 # `source` stands for the root. Version 2 of the corpus lacks the ids of 0 mod 10 and has new texts for those of 1 mod 7.
 
 _OLD = "SELECT doc_id, source, sha256(text) AS h, n_chars FROM documents"

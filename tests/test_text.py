@@ -12,8 +12,7 @@ def one(spark, value, build, kind="string"):
 
 
 def test_windows_of_four_with_overlap_two(spark):
-    got = one(spark, "The quick brown fox jumps over the lazy dog", lambda x: T.windows(x, 4, 2))
-    assert got == ["The quick brown fox", "brown fox jumps over", "jumps over the lazy", "the lazy dog"]
+    assert one(spark, "one two three four five six seven eight nine", lambda x: T.windows(x, 4, 2)) == ["one two three four", "three four five six", "five six seven eight", "seven eight nine"]
 
 
 @pytest.mark.parametrize("n,sizes", [(0, []), (1, [1]), (384, [384]), (385, [384, 65]), (704, [384, 384]), (705, [384, 384, 65])])
