@@ -143,8 +143,9 @@ _OUT = ["doc_id", "start", "stop", "h1", "h2"]
 def _spans(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.RecordBatch]:
     """Spans of repeated windows in each context. Rows come sorted by bucket and part; a chunk ends where a part does.
 
-    Windows of a bucket in parts also give a row with a 128-bit hash: one for each group of equal ones, which stands for
-    the part, or where the part has them under one document only, one for each.
+    Windows of a bucket in parts also give rows with a 128-bit hash: for each group of equal ones under several documents its
+    least and its greatest document, which stand for the chunk, so that any document elsewhere meets another than itself;
+    where the chunk has them under one document only, one row for each.
     """
 
     def chunk(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,12 +159,12 @@ def _spans(batches: Iterator[pa.RecordBatch], chunk_bytes: int) -> Iterator[pa.R
         split = np.flatnonzero(part[place(at)[0]] >= 0) if (part >= 0).any() else np.empty(0, np.int64)
         if len(split):
             group = np.repeat(np.arange(len(shared)), np.diff(edge))
-            leading = np.zeros(len(at), bool)
-            leading[edge[:-1]] = True
-            split = split[leading[split] | ~shared[group[split]]]
-            chosen = at[split]
+            met = np.unique(group[split])
+            met = met[shared[met]]
+            alone = split[~shared[group[split]]]
+            chosen = at[np.concatenate([edge[met], edge[met + 1] - 1, alone])]
             row, start = place(chosen)
-            single = ~shared[group[split]]
+            single = np.arange(len(chosen)) >= 2 * len(met)
             h1, h2 = (gram_hashes(w, MIN_WORDS)[chosen].view(np.int64) for w in (words, words * np.uint64(0x9E3779B97F4A7C15) ^ (words >> np.uint64(29))))
             yield pa.record_batch([pa.array(docs[row]), pa.array(start.astype(np.int64), mask=~single), pa.array(start.astype(np.int64) + MIN_WORDS), pa.array(h1), pa.array(h2)], _OUT)
         at = np.sort(at[np.repeat(shared, np.diff(edge))])

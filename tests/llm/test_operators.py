@@ -347,6 +347,18 @@ def test_repeated_passages_equal_brute_force(spark):
     assert sorted(tuple(r) for r in suffixes.repeated_passages(docs, part=3, chunk_bytes=4096).collect()) == got
 
 
+def test_split_buckets_keep_a_documents_second_copy(spark):
+    rng = random.Random(15)
+    rows = []
+    for k in range(40):
+        passage = prose(rng, 60)
+        rows += [(10 * k + 3, f"{passage} {prose(rng, 70)} {passage}"), (10 * k + 5, f"{prose(rng, 9)} {passage}"), (10 * k + 4, f"{prose(rng, k)} {passage} {prose(rng, 60)} {passage}")]
+    docs = table(spark, rows)
+    want = brute_spans(rows, suffixes.MIN_WORDS)
+    for part, chunk_bytes in ((2, 1), (3, 1), (4, 4096)):
+        assert sorted(tuple(r) for r in suffixes.repeated_passages(docs, part=part, chunk_bytes=chunk_bytes).collect()) == want
+
+
 def test_anchors_are_the_least_grams():
     rng = np.random.default_rng(14)
     grams, bounds = rng.integers(0, 40, 700).astype(np.uint64) << np.uint64(50), np.array([0, 30, 300, 707])
