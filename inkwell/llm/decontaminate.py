@@ -16,6 +16,8 @@ from inkwell.llm.common import _IS_WORD, arrow_map, load, load_spread, text_slic
 EDIT_SHARE = 0.08
 Q = 8
 WALKS, TABLES, BITS = 4, 32, 5
+#: A length class whose tables find a smaller share of PROBES copies at the edit limit is compared without them, item by item.
+RECALL, PROBES = 0.99, 64
 CLASS_RATIO = 1.25
 ITEMS_PER_PASS = 20_000
 _TABLE_BITS = 24
@@ -74,6 +76,10 @@ class LengthClass:
     sampled: np.ndarray = field(repr=False)
     tables: list[dict[int, list[int]]] = field(default_factory=list, repr=False)
     sorted_keys: list[np.ndarray] = field(default_factory=list, repr=False)
+    #: The class's Q-grams, and from first[k] on in `holders` the items with the k-th; empty where the tables decide.
+    grams: np.ndarray | None = field(default=None, repr=False)
+    first: np.ndarray | None = field(default=None, repr=False)
+    holders: np.ndarray | None = field(default=None, repr=False)
 
     def keys(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """LSH keys (WALKS * TABLES, windows) of the windows of data that begin at starts.
@@ -132,7 +138,14 @@ class Benchmark:
                     c.tables[t].setdefault(int(key), []).append(k)
             self.members |= np.where(np.isin(self.grams, np.concatenate([self.own_grams[k] for k in own])), np.uint64(1) << np.uint64(len(self.classes)), np.uint64(0))
             c.sorted_keys = [np.array(sorted(t), np.uint64) for t in c.tables]
+            if self.recall(c) < RECALL:
+                all_, holders = np.concatenate([self.own_grams[k] for k in own]), np.repeat(np.array(own, np.int32), [len(self.own_grams[k]) for k in own])
+                order = np.argsort(all_, kind="stable")
+                c.grams, first = np.unique(all_[order], return_index=True)
+                c.first, c.holders, c.tables, c.sorted_keys = np.append(first, len(all_)), holders[order], [], []
             self.classes.append(c)
+        self.need = np.array([len(s) - Q + 1 - Q * edit_limit(len(s)) for s in self.items], np.int64)
+        self.reach = np.array([len(s) + edit_limit(len(s)) for s in self.items], np.int64)
 
     @staticmethod
     def _slot(grams: np.ndarray) -> np.ndarray:
@@ -153,12 +166,49 @@ class Benchmark:
         new = np.flatnonzero(low[1:] > np.maximum.accumulate(high)[:-1]) + 1
         return low[np.concatenate([[0], new])], np.maximum.reduceat(high, np.concatenate([[0], new]))
 
+    def recall(self, c: LengthClass) -> float:
+        """Share of copies of the class's items, with as many random edits as the limit allows, that share a key with their item."""
+        rng, found = np.random.default_rng(43), 0
+        chosen = [c.items[k] for k in np.linspace(0, len(c.items) - 1, PROBES).astype(int)]
+        for k in chosen:
+            copy = bytearray(self.items[k])
+            for _ in range(edit_limit(len(copy))):
+                at, kind, byte = int(rng.integers(len(copy))), int(rng.integers(3)), copy[int(rng.integers(len(copy)))]
+                copy[at : at + (kind > 0)] = bytes([byte][: 2 - kind])
+            keys = c.keys(np.frombuffer(bytes(copy) + b" ", np.uint8), np.zeros(1, np.int64))[:, 0]
+            found += any(k in c.tables[t].get(int(key), ()) for t, key in enumerate(keys))
+        return found / len(chosen)
+
+    def sharing(self, c: LengthClass, hits: np.ndarray, numbers: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, low, high) of each item of the class that by the Q-gram lemma can match, and the bytes that hold its matches. Lossless.
+        hits: places of the class's Q-grams in one text, and their numbers."""
+        sizes = c.first[numbers + 1] - c.first[numbers]
+        base = np.repeat(c.first[numbers] - np.cumsum(sizes) + sizes, sizes)
+        items, at = c.holders[base + np.arange(len(base))], np.repeat(hits, sizes)
+        order = np.argsort(items, kind="stable")
+        items, at = items[order], at[order]
+        last = np.arange(len(items)) + self.need[items] - 1
+        head = np.flatnonzero(last < len(items))
+        head = head[(items[last[head]] == items[head]) & (at[last[head]] - at[head] <= self.reach[items[head]] - Q)]
+        own, reach = items[head], self.reach[items[head]]
+        low, high = at[last[head]] + Q - reach, at[head] + reach
+        new = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (low[1:] > high[:-1]))[: len(own)])
+        return [(int(own[k]), int(a), int(b)) for k, a, b in zip(new, low[new], np.maximum.reduceat(high, new))] if len(new) else []
+
     def can_match(self, text: np.ndarray, item: int) -> bool:
         """The Q-gram lemma for one item."""
         n = len(self.items[item])
         grams = np.ndarray((max(0, len(text) - Q + 1),), "<u8", text, 0, (1,))
         return int(np.isin(grams, self.own_grams[item]).sum()) >= n - Q + 1 - Q * edit_limit(n)
 
+    def _verify(self, row: int, item: int, text: np.ndarray, found: dict[tuple[int, int], int]) -> None:
+        """Note the item's least distance in the text, if it is within the limit and less than what was found."""
+        if found.get((row, item), 1) > 0:
+            raw = text.tobytes()
+            d = 0 if self.items[item] in raw else best_distance(self.items[item], raw)
+            if d <= edit_limit(len(self.items[item])):
+                found[row, item] = min(d, found.get((row, item), d))
+
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int]]:
         """(row, item number, distance) of each text and item within the item's edit limit."""
         data, bounds = normalised(texts)
@@ -175,14 +225,22 @@ class Benchmark:
         begins[0], begins[1:] = True, data[:-1] == 32
         found: dict[tuple[int, int], int] = {}
         for number, c in enumerate(self.classes):
+            mine = hits[members >> np.uint64(number) & np.uint64(1) == 1]
             spots = []
-            for low, high in zip(*self.regions(hits[members >> np.uint64(number) & np.uint64(1) == 1], c)):
+            for low, high in zip(*self.regions(mine, c)):
                 for row in range(int(np.searchsorted(bounds, max(low, 0), "right")) - 1, int(np.searchsorted(bounds, high, "left"))):
                     a, b = max(int(low), int(bounds[row])), min(int(high), int(bounds[row + 1]))
                     if b > a:
                         spots.append((row, a, b))
             if not spots:
                 continue
+            if c.grams is not None:
+                for row, a, b in ((row, k, min(k + 4 * c.reach, b)) for row, a, b in spots for k in range(a, b, 4 * c.reach)):
+                    first, last = np.searchsorted(mine, [a, min(b + c.reach, int(bounds[row + 1])) - Q + 1])
+                    own = mine[first:last]
+                    for item, low, high in self.sharing(c, own, np.searchsorted(c.grams, grams[own])):
+                        self._verify(row, item, data[max(low, int(bounds[row])) : min(high, int(bounds[row + 1]))], found)
+                continue
             starts = [a + np.flatnonzero(begins[a:b]) for _, a, b in spots]
             owner = np.repeat(np.arange(len(spots)), [len(s) for s in starts])
             flat = np.concatenate(starts).astype(np.int64)
@@ -196,13 +254,9 @@ class Benchmark:
             for spot, item in pairs:
                 row, a, b = spots[spot]
                 limit = edit_limit(len(self.items[item]))
-                if found.get((row, item), limit + 1) > 0:
-                    text = data[max(int(bounds[row]), a - limit) : min(int(bounds[row + 1]), b + c.reach)]
-                    if self.can_match(text, item):
-                        raw = text.tobytes()
-                        d = 0 if self.items[item] in raw else best_distance(self.items[item], raw)
-                        if d <= limit:
-                            found[row, item] = min(d, found.get((row, item), d))
+                text = data[max(int(bounds[row]), a - limit) : min(int(bounds[row + 1]), b + c.reach)]
+                if found.get((row, item), 1) > 0 and self.can_match(text, item):
+                    self._verify(row, item, text, found)
         return sorted((row, item, d) for (row, item), d in found.items())
 
 
@@ -224,7 +278,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Texts and items are compared as lower-cased words with single spaces; distance is the edit distance in UTF-8 bytes to
     the nearest passage found, at most 8 % of the item's length. Windows at every word where the lossless Q-gram
-    screen leaves a match possible are embedded by WALKS CGK walks, sampled into TABLES tables each, and verified exactly.
+    screen leaves a match possible are embedded by WALKS CGK walks, sampled into TABLES tables each, and verified exactly;
+    for items of a length at which these tables find under RECALL of trial copies at the edit limit, every passage that by the
+    Q-gram lemma can match the item is verified instead, so none is lost.
 
     Null doc_id passes through; null and empty texts match nothing; items with null id or text or of under 8 bytes match
     nothing; an item_id with several texts matches by the nearest. Repeated rows of docs each give their rows, further

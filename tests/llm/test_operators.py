@@ -297,6 +297,21 @@ def test_leaks_equal_brute_force(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == decontaminate.leaks(docs.limit(0), bench).count() == 0
 
 
+def test_long_items_are_found_at_the_limit():
+    rng = random.Random(16)
+    items = [" ".join(norm(prose(rng, n))) for n in range(180, 480, 12)]
+    b = decontaminate.Benchmark(list(range(len(items))), items)
+    texts = []
+    for item in items:
+        leak = list(item)
+        for _ in range(decontaminate.edit_limit(len(item))):
+            at = rng.randrange(len(leak))
+            leak[at : at + rng.randint(0, 1)] = rng.choice("abcxyz")
+        texts.append(f"{prose(rng, 20)} {''.join(leak)} {prose(rng, 20)}")
+    assert len(items[0]) < 1200 and len(items[-1]) > 2500
+    assert {(r, i) for r, i, _ in b.matches(pa.array(texts))} == {(k, k) for k in range(len(items))}
+
+
 def test_benchmark_passes_give_the_same(spark, monkeypatch):
     rng = random.Random(10)
     items = [(k, prose(rng, 30)) for k in range(9)]
