@@ -24,11 +24,15 @@ PATTERN = (
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b)"
     r"|(?P<date>\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})\b)"
     r"|(?P<ssn>\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b)"
-    r"|(?P<card>\b(?:[0-9]{13,19}|[0-9]{4}(?:[ \-][0-9]{4}){3}|[0-9]{4}[ \-][0-9]{6}[ \-][0-9]{5})\b)"
+    r"|(?P<card>\b[0-9](?:[ \-]?[0-9]){12,18}\b)"
     r"|(?P<phone>\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}\b|\b[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}\b)"
     r"|(?P<ip>\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b)"
 )
 _FIND = re.compile(PATTERN, re.ASCII)
+#: The kinds in order, each by itself.
+_EACH = {m[1]: re.compile(m[0], re.ASCII) for m in re.finditer(r"\(\?P<(\w+)>.*?(?=\|\(\?P<|\Z)", PATTERN)}
+#: Kinds of a form of their own, which a card number's digits in groups must not run into.
+_FORMED = re.compile("|".join(_EACH[k].pattern for k in ("date", "ssn", "phone", "ip")), re.ASCII)
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -168,22 +172,55 @@ def _email(f: Feistel, s: str) -> str:
 KINDS: dict[str, Callable[[Feistel, str], str]] = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card, "phone": _digits("phone"), "ip": _ip}
 
 
-def pseudonymised(f: Feistel, text: str) -> tuple[str, int]:
-    """The text with each validated match replaced, and how many matches were."""
-    n = 0
+def _pieces(kind: str, value: str) -> list[str]:
+    """The value and, of a card number or IBAN, each shorter piece that ends where a group does; longest first."""
+    if kind not in ("card", "iban"):
+        return [value]
+    pieces = [value[:k] for k in range(len(value), 0, -1) if k == len(value) or value[k] in " -"]
+    return [p for p in pieces if _EACH[kind].fullmatch(p)]
+
+
+def _accepted(f: Feistel, text: str, start: int, first: str) -> tuple[str, str] | None:
+    """The piece at start that is valid as the kind first or one after it, and its pseudonym."""
+    kinds = list(_EACH)
+    for kind in kinds[kinds.index(first) :]:
+        if m := _EACH[kind].match(text, start):
+            for piece in _pieces(kind, m[0]):
+                new = KINDS[kind](f, piece)
+                if new != piece and not (kind == "card" and not piece.isdigit() and _runs_into(f, text, start, start + len(piece))):
+                    return piece, new
+    return None
 
-    def swap(m: re.Match) -> str:
-        nonlocal n
-        new = KINDS[m.lastgroup](f, m[0])
-        n += new != m[0]
-        return new
 
-    out = _FIND.sub(swap, text)
-    return out, n
+def _runs_into(f: Feistel, text: str, start: int, end: int) -> bool:
+    """Whether a valid value of a form of its own begins within the range."""
+    while (m := _FORMED.search(text, start)) and m.start() < end:
+        if KINDS[m.lastgroup](f, m[0]) != m[0]:
+            return True
+        start = m.start() + 1
+    return False
+
+
+def pseudonymised(f: Feistel, text: str) -> tuple[str, int]:
+    """The text with each validated match replaced, and how many matches were. Behind a match that isn't valid the scan goes on,
+    in card numbers and IBANs at their next group."""
+    out, n, done, at = [], 0, 0, 0
+    while m := _FIND.search(text, at):
+        start = m.start()
+        if got := _accepted(f, text, start, m.lastgroup):
+            piece, new = got
+            out += [text[done:start], new]
+            n, done = n + 1, start + len(piece)
+            at = done
+        else:
+            at = m.end()
+            if m.lastgroup in ("card", "iban"):
+                at = start + next((k for k, c in enumerate(m[0]) if c in " -"), len(m[0]))
+    return "".join([*out, text[done:]]), n
 
 
 #: A text without any of these has no match; RE2 screens whole columns for them.
-_SCREEN = r"@[A-Za-z0-9\-]|[0-9][ .\-/()]{0,2}[0-9]{2}[0-9 .\-/()]{3}|[A-Z]{2}[0-9]{2}|[0-9]\.[0-9]{1,3}\.[0-9]"
+_SCREEN = r"@[A-Za-z0-9\-]|[0-9](?:[ \-]?[0-9]){12}|[0-9][ .\-/()]{0,2}[0-9]{2}[0-9 .\-/()]{3}|[A-Z]{2}[0-9]{2}|[0-9]\.[0-9]{1,3}\.[0-9]"
 
 
 def _replaced(column: pa.Array, f: Feistel) -> tuple[pa.Array, list[int]]:
@@ -205,8 +242,9 @@ def pii_key(spark: SparkSession) -> str:
 def pseudonyms(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with personal values in `text` replaced by keyed pseudonyms of the same format, and a column n_replaced.
 
-    Recognised and validated: card numbers (Luhn), IBANs (mod 97), US social security numbers, dates of 1900 to 2099,
-    IPv4 addresses, telephone numbers and e-mail addresses (their local part). A value that fails its validation stays. Each
+    Recognised and validated: card numbers of 13 to 19 digits in any groups (Luhn), IBANs (mod 97), US social security numbers, dates of 1900 to 2099,
+    IPv4 addresses, telephone numbers and e-mail addresses (their local part). A value that fails its validation stays; of a card
+    number or IBAN with further groups behind it the longest valid part up to the end of a group counts. Each
     kind is permuted by a Feistel network over its own valid strings under the key, so equal values get equal
     pseudonyms in all documents and different ones different; check digits are made anew.
 

@@ -178,6 +178,27 @@ def test_long_runs_and_neighbours():
     assert n == 3 + (pii.luhn([int(c) for c in "452413226465287"]) == 6) and text.endswith(" 555") and "jo@" not in text
 
 
+@pytest.mark.parametrize(
+    "value,rest",
+    [("3056 930902 5904", ""), ("4222 222 222 222", ""), ("4222-222-222-222", ""), ("6304 0000 0000 0000 000", " 1234"), ("4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", ""), ("4111 1111 1111 1111", " 4222-222-222-222"), ("BE68 5390 0754 7034", " FROM"), ("ES9121000418450200051332", " BIC"), ("BE68 5390 0754 7034", " 1234 5678")],
+)
+def test_groups_and_what_follows(value, rest):
+    f = pii.Feistel("k")
+    got, counts = pii._replaced(pa.array([f"no {value}{rest}", f"77 {value}{rest}."]), f)
+    both = 1 + (len(rest) > 10)
+    assert counts == [both, both] and value not in got[0].as_py() + got[1].as_py()
+    assert len(got[0].as_py()) == len(f"no {value}{rest}") and (both == 2 or got[0].as_py().endswith(rest))
+
+
+def test_card_groups_leave_dates_and_phones_whole():
+    f = pii.Feistel("k")
+    for k in range(100):
+        text = f"{k} 2024-01-{k % 28 + 1:02d} 2024 555-123-45{k:02d} 555-123-4568"
+        date, phone = text.split()[1], text.split()[3]
+        got = pii.pseudonymised(f, text)[0].split()
+        assert got[1] == pii.pseudonymised(f, date)[0] and got[3] == pii.pseudonymised(f, phone)[0]
+
+
 @pytest.mark.parametrize("value", ["4111111111111112", "999.1.1.1", "127.0.0.1", "2023-02-30", "000-12-3456", "DE00 3704 0044 0532 0130 00", "version 4.0.", "12345", "a@b"])
 def test_invalid_values_stay(value):
     assert pii.pseudonymised(pii.Feistel("k"), value) == (value, 0)
