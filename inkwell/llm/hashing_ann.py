@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import arrow_map, bounded_batches, load, materialize
@@ -136,9 +137,10 @@ class Index:
         return rows[np.bitwise_count(self.code[rows] ^ query).sum(axis=1) <= radius]
 
 
-def calibrate(vectors: DataFrame, dims: int, k: int, mean: np.ndarray, rotations: np.ndarray, sample: int = CALIBRATION) -> int:
+def calibrate(vectors: DataFrame, dims: int, k: int, mean: np.ndarray, rotations: np.ndarray, sample: int = CALIBRATION) -> tuple[int, float]:
     """The radius that holds the share COVERED of the true k nearest of `sample` vectors (of smallest hash of id), found by
-    comparing these with all rows."""
+    comparing these with all rows; and by how many standard deviations a radius for one vector must exceed the expected
+    distance to hold that share (vouched()), not less than for independent bits."""
     chosen = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toPandas()
     x, own = np.stack(chosen["v"]).astype(np.float32), chosen["vec_id"].to_numpy()
     code = codes(x, mean, rotations)
@@ -153,21 +155,36 @@ def calibrate(vectors: DataFrame, dims: int, k: int, mean: np.ndarray, rotations
             yield pa.record_batch([pa.array(q), pa.array(np.take_along_axis(s, top, 1).ravel().astype(float)), pa.array(far.astype(np.int32))], ["q", "s", "far"])
 
     best = Window.partitionBy("q").orderBy(F.desc("s"), "far")
-    rows = arrow_map(vectors, ["vec_id", "v"], run, "q long, s double, far int").where("s > -2").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("far").toPandas()
-    return int(np.ceil(np.quantile(rows["far"], COVERED))) if len(rows) else 0
+    rows = arrow_map(vectors, ["vec_id", "v"], run, "q long, s double, far int").where("s > -2").withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).select("q", "s", "far").toPandas()
+    if not len(rows):
+        return 0, 0.0
+    apart = np.sqrt(np.maximum(0, 2 - 2 * rows["s"].to_numpy()))
+    off = np.maximum(np.linalg.norm(x - mean, axis=1), 1e-9)[rows["q"].to_numpy()]
+    bits = len(rotations) * dims
+    share = 2 * np.arcsin(np.minimum(1, apart / (2 * off))) / np.pi
+    deviations = (rows["far"].to_numpy() - bits * share) / np.maximum(1, np.sqrt(bits * share * (1 - share)))
+    return int(np.ceil(np.quantile(rows["far"], COVERED))), max(float(np.quantile(deviations, COVERED)), NormalDist().inv_cdf(COVERED))
+
+
+def vouched(cosine: Column, off: Column, bits: int, margin: float) -> Column:
+    """The radius that a vector at distance `off` from the mean needs for neighbours of this cosine: a bit differs with the
+    share that their angle, seen from the mean, has of a half turn."""
+    share = 2 * F.asin(F.least(F.lit(1.0), F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * cosine)) / (2 * F.greatest(off, F.lit(1e-9))))) / np.pi
+    return F.least(F.lit(bits), F.ceil(bits * share + margin * F.greatest(F.lit(1.0), F.sqrt(bits * share * (1 - share))))).cast("int")
 
 
 def nearest(embeddings: DataFrame, k: int = 10) -> DataFrame:
-    """(vec_id, rank, neighbour_id, cosine): for every vector the k most similar of the others within the learned Hamming radius.
+    """(vec_id, rank, neighbour_id, cosine): for every vector the k most similar of the others within its Hamming radius.
 
-    Codes are the signs under ROTATIONS learned rotations; rotations and mean come from all rows, the radius from a
+    Codes are the signs under ROTATIONS learned rotations; rotations and mean come from all rows, the first radius from a
     bounded sample of queries against all rows. Blocks of queries meet blocks of index codes; in each the multi-index
     finds every code within the radius (Index.within) and cosines of these alone are computed, in double from the unit
-    float vectors. Equal cosines go to the smaller id.
+    float vectors. Equal cosines go to the smaller id. Vectors that found fewer than k then search again with a doubled
+    radius, and those whose k-th cosine needs a wider one (vouched()) with that, until each has k and a radius to match.
 
     Left out on both sides: null ids, null, empty, zero and non-finite vectors and those not of the most frequent
     length. Rows that repeat an id are never neighbours of each other and give their rows once; other copies are neighbours
-    with cosine 1. A vector with fewer than k codes in its radius gets fewer rows. Further columns are ignored.
+    with cosine 1. Only where the table has fewer than k others does a vector get fewer rows. Further columns are ignored.
     """
     schema = "vec_id long, rank int, neighbour_id long, cosine double"
     vectors, dims = unit_vectors(embeddings)
@@ -175,32 +192,52 @@ def nearest(embeddings: DataFrame, k: int = 10) -> DataFrame:
     if n < 2:
         return embeddings.sparkSession.createDataFrame([], schema)
     mean, rotations = learn_rotations(vectors, dims)
-    radius = calibrate(vectors, dims, k, mean, rotations)
-    blocks = max(1, -(-n // BLOCK))
-    each = F.sequence(F.lit(0), F.lit(blocks - 1))
-    placed = vectors.dropDuplicates(["vec_id"]).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    left = placed.select("vec_id", "v", F.col("block").alias("i"), F.explode(each).alias("j"))
-    right = placed.select("vec_id", "v", F.col("block").alias("j"), F.explode(each).alias("i"))
+    radius, margin = calibrate(vectors, dims, k, mean, rotations)
+    bits, blocks = ROTATIONS * dims, max(1, -(-n // BLOCK))
+    off = F.sqrt(F.aggregate(F.zip_with("v", F.array(*map(F.lit, mean.tolist())), lambda x, m: (x - m) * (x - m)), F.lit(0.0), lambda a, x: a + x))
+    placed = materialize(vectors.dropDuplicates(["vec_id"]).withColumn("off", off), "placed")
+    want = min(k, placed.count() - 1)
 
     def pair(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         none = pd.DataFrame({"vec_id": [], "neighbour_id": [], "cosine": []}).astype({"vec_id": "int64", "neighbour_id": "int64"})
         if a.empty or b.empty:
             return none
         x, y = (np.stack(f["v"]).astype(np.float32) for f in (a, b))
-        ids, others = a["vec_id"].to_numpy(), b["vec_id"].to_numpy()
+        ids, others, radii = a["vec_id"].to_numpy(), b["vec_id"].to_numpy(), a["radius"].to_numpy()
         index, out = Index(codes(y, mean, rotations)), []
         code = codes(x, mean, rotations)
-        for q, rows in ((k + i, r) for k in range(0, len(x), 64) for i, r in enumerate(index.within(code[k : k + 64], radius))):
-            rows = rows[others[rows] != ids[q]]
-            s = np.round(y[rows].astype(np.float64) @ x[q].astype(np.float64), 9)
-            best = np.lexsort((others[rows], -s))[:k]
-            out.append((np.full(len(best), ids[q]), others[rows[best]], s[best]))
+        for near in np.unique(radii):
+            own = np.flatnonzero(radii == near)
+            for q, rows in ((q, r) for i in range(0, len(own), 64) for q, r in zip(own[i : i + 64], index.within(code[own[i : i + 64]], int(near)))):
+                rows = rows[others[rows] != ids[q]]
+                s = np.round(y[rows].astype(np.float64) @ x[q].astype(np.float64), 9)
+                best = np.lexsort((others[rows], -s))[:k]
+                out.append((np.full(len(best), ids[q]), others[rows[best]], s[best]))
         return pd.DataFrame(dict(zip(none.columns, map(np.concatenate, zip(*out)))))
 
-    bounded_batches(embeddings.sparkSession)
-    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "vec_id long, neighbour_id long, cosine double")
-    order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("vec_id", "rank", "neighbour_id", F.round("cosine", 6).alias("cosine"))
+    def search(queries: DataFrame, count: int) -> DataFrame:
+        parts = max(1, -(-count // BLOCK))
+        block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m)).cast("int")
+        each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+        left = queries.select("vec_id", "v", "radius", block(parts).alias("i"), each(blocks).alias("j"))
+        right = placed.select("vec_id", "v", block(blocks).alias("j"), each(parts).alias("i"))
+        bounded_batches(embeddings.sparkSession)
+        found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(pair, "vec_id long, neighbour_id long, cosine double")
+        order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
+        return materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "neighbours")
+
+    queries, count, out = placed.withColumn("radius", F.lit(min(radius, bits))), n, None
+    while count:
+        found = search(queries, count)
+        ends = found.groupBy("vec_id").agg(F.count("*").alias("n"), F.min("cosine").alias("worst"))
+        wider = F.least(F.lit(bits), F.greatest(2 * F.col("radius"), F.col("radius") + 8))
+        needs = F.when(F.coalesce("n", F.lit(0)) < want, wider).otherwise(vouched(F.col("worst"), F.col("off"), bits, margin))
+        judged = queries.join(ends, "vec_id", "left").withColumn("needs", needs).where("needs > radius")
+        queries = materialize(judged.select("vec_id", "v", "off", F.col("needs").cast("int").alias("radius")), "again")
+        count = queries.count()
+        settled = found.join(queries.select("vec_id"), "vec_id", "left_anti") if count else found
+        out = settled if out is None else out.unionByName(settled)
+    return out.select("vec_id", "rank", "neighbour_id", F.round("cosine", 6).alias("cosine"))
 
 
 def op6_nearest(spark, sf_dir):

@@ -234,6 +234,20 @@ def test_nearest_has_recall(spark):
     assert hashing_ann.nearest(spark.createDataFrame(rows[:1], "vec_id long, embedding array<float>, rank int")).count() == 0
 
 
+def test_sparse_vectors_have_neighbours_too(spark):
+    rng = np.random.default_rng(17)
+    x = np.repeat(rng.normal(size=(40, 32)), 20, axis=0) + rng.normal(scale=1e-4, size=(800, 32))
+    x[:24] = rng.normal(size=(24, 32))
+    got = hashing_ann.nearest(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")).toPandas()
+    assert (got.groupby("vec_id").size() == 10).sum() == 800
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    tenth = np.sort(s, axis=1)[:, -10]
+    recall = {k: np.mean([s[k, j] >= tenth[k] - 1e-6 for j in g]) for k, g in got.groupby("vec_id")["neighbour_id"]}
+    assert np.mean([recall[k] for k in range(24)]) >= 0.9 and min(recall.values()) >= 0.5
+
+
 @pytest.mark.parametrize("radius", [0, 3, 7, 11, 20, 40])
 def test_index_finds_every_code(radius):
     code = np.random.default_rng(6).integers(0, 64, (500, 4)).astype(np.uint16) * 1021
