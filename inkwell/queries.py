@@ -250,7 +250,8 @@ def root_paths(spark, sf_dir):
 def upsert_snapshot(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     changed = change_actions(new, old, key="doc_id").where("action = 'index'")
-    gone = pruned(old, new, [f"src{k}" for k in range(20)], key="doc_id").select("doc_id").unionByName(changed.select("doc_id"))
+    roots = [r["source_root"] for r in old.select("source_root").distinct().collect()]
+    gone = pruned(old, new, roots, key="doc_id").select("doc_id").unionByName(changed.select("doc_id"))
     return replaced(old, gone, changed.drop("action"), key="doc_id").select("doc_id", "source_root", "content_hash")
 
 
