@@ -248,6 +248,46 @@ def test_sparse_vectors_have_neighbours_too(spark):
     assert np.mean([recall[k] for k in range(24)]) >= 0.9 and min(recall.values()) >= 0.5
 
 
+def true_neighbours(ids, x, own, k=10):
+    u = x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u[own] @ u.T, 6)
+    s[np.arange(len(own)), own] = -2
+    return {int(ids[q]): np.sort(r)[::-1][:k] for q, r in zip(own, s)}
+
+
+def test_probing_settles_queries_with_near_neighbours(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    x = (np.repeat(rng.normal(size=(60, 32)), 20, axis=0) + rng.normal(scale=0.01, size=(1200, 32))).astype(np.float32)
+    x[600:840] = x[600]
+    docs = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<float>")
+    seen, searched = [], hashing_ann.searched
+    monkeypatch.setattr(hashing_ann, "searched", lambda indexed, queries, count, *a: seen.append(count) or searched(indexed, queries, count, *a))
+    run = lambda: hashing_ann.nearest(docs, query=F.col("vec_id") % 7 == 0).orderBy("vec_id", "rank").toPandas()
+    got = run()
+    assert sum(seen) < 10 and set(got["vec_id"]) == set(range(0, 1200, 7)) and (got.groupby("vec_id").size() == 10).all()
+    true = true_neighbours(np.arange(1200), x, np.arange(0, 1200, 7))
+    assert all(np.allclose(g, true[q], atol=2e-5) for q, g in got.groupby("vec_id")["cosine"])
+    copies = got[got["vec_id"].isin(range(602, 840, 7))]
+    assert all(g.tolist() == list(range(600, 610)) for q, g in copies.groupby("vec_id")["neighbour_id"] if q >= 610)
+    monkeypatch.setattr(hashing_ann, "HOT", 3)
+    before = len(seen)
+    assert run().equals(got) and sum(seen[before:]) > 100
+
+
+def test_repeated_ids_and_passes(spark, monkeypatch):
+    rng = np.random.default_rng(19)
+    x = rng.normal(size=(300, 16)).astype(np.float32)
+    rows = [(k, v.tolist(), "c") for k, v in enumerate(x)]
+    docs = spark.createDataFrame(rows + [(5, [9.0] * 16, "c"), (5, [-9.0] * 16, "c")], "vec_id long, embedding array<float>, code string")
+    want = [tuple(r) for r in hashing_ann.nearest(docs).orderBy("vec_id", "rank").collect()]
+    x[5] = min([x[5] / np.linalg.norm(x[5]), np.full(16, 0.25), np.full(16, -0.25)], key=lambda v: v.tolist())
+    true = true_neighbours(np.arange(300), x, np.arange(300))
+    assert np.mean([abs(s - true[q][r - 1]) < 1e-5 for q, r, _, s in want]) >= 0.9
+    monkeypatch.setattr(hashing_ann, "PASS_BYTES", 4000)
+    monkeypatch.setattr(hashing_ann, "BLOCK", 50)
+    assert [tuple(r) for r in hashing_ann.nearest(docs).orderBy("vec_id", "rank").collect()] == want
+
+
 @pytest.mark.parametrize("radius", [0, 3, 7, 11, 20, 40])
 def test_index_finds_every_code(radius):
     code = np.random.default_rng(6).integers(0, 64, (500, 4)).astype(np.uint16) * 1021

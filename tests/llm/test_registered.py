@@ -1,4 +1,5 @@
 import corpus_pipeline
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from tests.test_queries import compare
@@ -13,6 +14,21 @@ def test_query_equals_sql(spark, sf_dir, name):
     compare(queries.QUERIES[name](spark, sf_dir), queries.ORACLE_SQL[name], sf_dir)
 
 
+def test_nearest_as_registered(spark):
+    """Every id divisible by 50 has ten rows, and 0.9 of the true ten nearest are among them."""
+    sf_dir = "/root/testdata/sf0.1"
+    table = load(spark, sf_dir, "embeddings").toPandas()
+    x, ids = np.stack(table["embedding"]).astype(np.float64), table["vec_id"].to_numpy()
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    own = np.flatnonzero(ids % 50 == 0)
+    s = np.round(x[own] @ x.T, 9)
+    s[np.arange(len(own)), own] = -2
+    true = {int(ids[q]): set(ids[np.lexsort((ids, -r))[:10]]) for q, r in zip(own, s)}
+    got = queries.QUERIES["op6_nearest"](spark, sf_dir).toPandas().groupby("vec_id")["neighbour_id"]
+    assert {q: len(g) for q, g in got} == dict.fromkeys(true, 10)
+    assert np.mean([len(true[q] & set(g)) / 10 for q, g in got]) >= 0.9
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage's decisions against its operator's own output, and the last one's tokens against plain merging."""
     sf_dir = "/root/testdata/sf0.001"
