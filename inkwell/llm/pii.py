@@ -6,6 +6,7 @@ import datetime
 import hashlib
 import ipaddress
 import re
+import warnings
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -25,14 +26,17 @@ PATTERN = (
     r"|(?P<date>\b(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})\b)"
     r"|(?P<ssn>\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b)"
     r"|(?P<card>\b[0-9](?:[ \-]?[0-9]){12,18}\b)"
-    r"|(?P<phone>\+[0-9]{1,3}[ .\-]?\(?[0-9]{1,4}\)?(?:[ .\-]?[0-9]{2,4}){2,4}\b|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}\b|\b[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}\b)"
+    r"|(?P<phone>\+[0-9]{1,4}(?:[ .\-]?\([0-9]{1,5}\))?(?:[ .\-]?[0-9]){4,32}\b|\([0-9]{3}\) ?[0-9]{3}[ .\-][0-9]{4}\b|\b[0-9]{3}[.\-][0-9]{3}[.\-][0-9]{4}\b)"
     r"|(?P<ip>\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b)"
 )
 _FIND = re.compile(PATTERN, re.ASCII)
 #: The kinds in order, each by itself.
 _EACH = {m[1]: re.compile(m[0], re.ASCII) for m in re.finditer(r"\(\?P<(\w+)>.*?(?=\|\(\?P<|\Z)", PATTERN)}
-#: Kinds of a form of their own, which a card number's digits in groups must not run into.
-_FORMED = re.compile("|".join(_EACH[k].pattern for k in ("date", "ssn", "phone", "ip")), re.ASCII)
+#: Country calling codes of one and two digits; all others have three.
+_CODES = re.compile(r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}")
+#: Digits that national numbers have, by country code; elsewhere what the international form leaves room for.
+_NATIONAL = {"1": (10, 10), "7": (10, 10), "31": (9, 9), "33": (9, 9), "34": (9, 9), "41": (9, 9), "44": (9, 10), "45": (8, 8), "47": (8, 8), "48": (9, 9), "52": (10, 10), "55": (10, 11), "61": (9, 9), "86": (10, 11), "91": (10, 10), "351": (9, 9)}
+_PHONE_DIGITS = (9, 15)
 _FIRST_DAY, _DAYS = datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 1).toordinal() - datetime.date(1900, 1, 1).toordinal()
 
 
@@ -86,40 +90,38 @@ def _put(text: str, digits: Sequence[int]) -> str:
     return re.sub(r"[0-9]", lambda _: str(next(it)), text)
 
 
-def _card(f: Feistel, s: str) -> str:
+def _card(f: Feistel, s: str) -> str | None:
     d = [int(c) for c in s if c.isdigit()]
     if luhn(d[:-1]) != d[-1]:
-        return s
+        return None
     body = f(d[:-1], [10] * (len(d) - 1), "card")
     return _put(s, [*body, luhn(body)])
 
 
-def _digits(kind: str) -> Callable[[Feistel, str], str]:
-    def run(f: Feistel, s: str) -> str:
-        d = [int(c) for c in s if c.isdigit()]
-        lead = len(re.match(r"\+?([0-9]{1,3})[^0-9]", s)[1]) if s[0] == "+" and re.match(r"\+([0-9]{1,3})[^0-9]", s) else 0
-        if not 9 <= len(d) <= 15:
-            return s
-        return _put(s, d[:lead] + f(d[lead:], [10] * (len(d) - lead), kind))
+def _phone(f: Feistel, s: str) -> str | None:
+    """The digits behind the country code are permuted, so a number has one pseudonym with separators and without."""
+    d = re.sub(r"[^0-9]", "", s)
+    lead = len(_CODES.match(d)[0]) if s[0] == "+" and _CODES.match(d) else 0
+    if not _PHONE_DIGITS[0] <= len(d) <= _PHONE_DIGITS[1]:
+        return None
+    return _put(s, [*map(int, d[:lead]), *f([int(c) for c in d[lead:]], [10] * (len(d) - lead), "phone")])
 
-    return run
 
-
-def _ssn(f: Feistel, s: str) -> str:
+def _ssn(f: Feistel, s: str) -> str | None:
     d = [int(c) for c in s if c.isdigit()]
 
     def valid(x: Sequence[int]) -> bool:
         area, group, serial = x[0] * 100 + x[1] * 10 + x[2], x[3] * 10 + x[4], x[5] * 1000 + x[6] * 100 + x[7] * 10 + x[8]
         return 0 < area < 900 and area != 666 and group > 0 and serial > 0
 
-    return _put(s, f.walk(d, [10] * 9, "ssn", valid)) if valid(d) else s
+    return _put(s, f.walk(d, [10] * 9, "ssn", valid)) if valid(d) else None
 
 
-def _ip(f: Feistel, s: str) -> str:
+def _ip(f: Feistel, s: str) -> str | None:
     octets = [int(x) for x in s.split(".")]
     plain = max(octets) < 256 and s == ".".join(map(str, octets))
     if not plain or not _routable(octets):
-        return s
+        return None
     return ".".join(map(str, f.walk(octets, [256] * 4, "ip", _routable)))
 
 
@@ -128,17 +130,20 @@ def _routable(octets: Sequence[int]) -> bool:
     return not (address.is_loopback or address.is_unspecified or octets[0] == 0 or octets == [255] * 4)
 
 
-def _date(f: Feistel, s: str) -> str:
-    form = "%Y-%m-%d" if s[4] == "-" else "%d/%m/%Y" if s[2] == "/" else "%d.%m.%Y"
-    for form in (form, *(["%m/%d/%Y"] if s[2] == "/" else [])):
+def _date(f: Feistel, s: str) -> str | None:
+    """Days are permuted among all days, in any form that puts the year or the day first. A date that only reads with its month
+    first is permuted among those of days over 12, which no other form writes, so no two values meet."""
+    first, second = ("%Y-%m-%d", None) if s[4] == "-" else ("%d/%m/%Y", "%m/%d/%Y") if s[2] == "/" else ("%d.%m.%Y", None)
+    for form in filter(None, (first, second)):
         try:
             day = datetime.datetime.strptime(s, form).date().toordinal() - _FIRST_DAY
         except ValueError:
             continue
         if 0 <= day < _DAYS:
-            out = f.walk(divmod(day, 271), (271, 271), "date", lambda x: x[0] * 271 + x[1] < _DAYS)
-            return datetime.date.fromordinal(_FIRST_DAY + out[0] * 271 + out[1]).strftime(form)
-    return s
+            at = lambda x: datetime.date.fromordinal(_FIRST_DAY + x[0] * 271 + x[1])
+            within = lambda x: x[0] * 271 + x[1] < _DAYS and (form == first or at(x).day > 12)
+            return at(f.walk(divmod(day, 271), (271, 271), "date" if form == first else "month first", within)).strftime(form)
+    return None
 
 
 def _iban_check(country: str, body: str) -> int:
@@ -155,67 +160,86 @@ def _classes(f: Feistel, s: str, tweak: str) -> str:
     return "".join(out)
 
 
-def _iban(f: Feistel, s: str) -> str:
+def _iban(f: Feistel, s: str) -> str | None:
     plain = s.replace(" ", "")
     if not 15 <= len(plain) <= 34 or int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 != 1:
-        return s
+        return None
     body = _classes(f, plain[4:], "iban")
     new = iter(f"{plain[:2]}{_iban_check(plain[:2], body):02d}{body}")
     return "".join(c if c == " " else next(new) for c in s)
 
 
-def _email(f: Feistel, s: str) -> str:
+def _email(f: Feistel, s: str) -> str | None:
     local, _, domain = s.rpartition("@")
+    if not any(c.isalnum() for c in local):
+        return None
     return f"{_classes(f, local, 'email')}@{domain}"
 
 
-KINDS: dict[str, Callable[[Feistel, str], str]] = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card, "phone": _digits("phone"), "ip": _ip}
+#: Each gives the pseudonym of a value, None where the value isn't valid.
+KINDS: dict[str, Callable[[Feistel, str], str | None]] = {"email": _email, "iban": _iban, "date": _date, "ssn": _ssn, "card": _card, "phone": _phone, "ip": _ip}
 
 
 def _pieces(kind: str, value: str) -> list[str]:
-    """The value and, of a card number or IBAN, each shorter piece that ends where a group does; longest first."""
-    if kind not in ("card", "iban"):
+    """The value and, of a card number, IBAN or international telephone number, each shorter piece that ends where a group does; longest
+    first, but telephone numbers of the length that their country has before all others."""
+    if kind not in ("card", "iban") and value[0] != "+":
         return [value]
-    pieces = [value[:k] for k in range(len(value), 0, -1) if k == len(value) or value[k] in " -"]
-    return [p for p in pieces if _EACH[kind].fullmatch(p)]
+    pieces = [value[:k] for k in range(len(value), 0, -1) if k == len(value) or not value[k].isalnum() and value[k - 1].isalnum()]
+    pieces = [p for p in pieces if _EACH[kind].fullmatch(p)]
+    return sorted(pieces, key=lambda p: kind == "phone" and not _usual(p))
+
 
+def _usual(phone: str) -> bool:
+    """Whether an international number has as many digits as its country's numbers."""
+    d = re.sub(r"[^0-9]", "", phone)
+    code = _CODES.match(d)
+    low, high = _NATIONAL.get(code[0] if code else "", (16, 0))
+    return code is not None and low <= len(d) - len(code[0]) <= high
 
-def _accepted(f: Feistel, text: str, start: int, first: str) -> tuple[str, str] | None:
-    """The piece at start that is valid as the kind first or one after it, and its pseudonym."""
-    kinds = list(_EACH)
-    for kind in kinds[kinds.index(first) :]:
+
+def _accepted(f: Feistel, text: str, start: int, kinds: Sequence[str] = tuple(_EACH)) -> tuple[str, str] | None:
+    """The piece at start that is valid as the first of the kinds that any is, and its pseudonym."""
+    for kind in kinds:
         if m := _EACH[kind].match(text, start):
             for piece in _pieces(kind, m[0]):
                 new = KINDS[kind](f, piece)
-                if new != piece and not (kind == "card" and not piece.isdigit() and _runs_into(f, text, start, start + len(piece))):
+                grouped = kind == "card" and not piece.isdigit() or kind == "phone" and piece[0] == "+" and not _usual(piece)
+                if new is not None and not (grouped and _runs_into(f, text, start, start + len(piece), kind)):
                     return piece, new
     return None
 
 
-def _runs_into(f: Feistel, text: str, start: int, end: int) -> bool:
-    """Whether a valid value of a form of its own begins within the range."""
-    while (m := _FORMED.search(text, start)) and m.start() < end:
-        if KINDS[m.lastgroup](f, m[0]) != m[0]:
-            return True
-        start = m.start() + 1
+#: Kinds that a card number's or telephone number's digits in groups must not run into.
+_FORMED = {"card": ("date", "ssn", "phone", "ip"), "phone": ("iban", "date", "ssn", "card")}
+_GROUP = re.compile(r"(?<=[ .\-])[0-9A-Z+(]")
+
+
+def _runs_into(f: Feistel, text: str, start: int, end: int, kind: str) -> bool:
+    """Whether a valid value of a form of its own begins at a group within the range; for a telephone number, a card that also ends beyond it."""
+    for m in _GROUP.finditer(text, start + 1, end):
+        for other in _FORMED[kind]:
+            if n := _EACH[other].match(text, m.start()):
+                for piece in _pieces(other, n[0]):
+                    if (other != "card" or m.start() + len(piece) > end) and KINDS[other](f, piece) is not None:
+                        return True
     return False
 
 
 def pseudonymised(f: Feistel, text: str) -> tuple[str, int]:
-    """The text with each validated match replaced, and how many matches were. Behind a match that isn't valid the scan goes on,
-    in card numbers and IBANs at their next group."""
+    """The text with each validated match replaced, and how many matches were. Where nothing valid begins, the scan goes on at
+    the next place at which a value can."""
     out, n, done, at = [], 0, 0, 0
+    kinds = tuple(_EACH)
     while m := _FIND.search(text, at):
         start = m.start()
-        if got := _accepted(f, text, start, m.lastgroup):
+        if got := _accepted(f, text, start, kinds[kinds.index(m.lastgroup) :]):
             piece, new = got
             out += [text[done:start], new]
             n, done = n + 1, start + len(piece)
             at = done
         else:
-            at = m.end()
-            if m.lastgroup in ("card", "iban"):
-                at = start + next((k for k, c in enumerate(m[0]) if c in " -"), len(m[0]))
+            at = start + 1
     return "".join([*out, text[done:]]), n
 
 
@@ -236,17 +260,25 @@ def _replaced(column: pa.Array, f: Feistel) -> tuple[pa.Array, list[int]]:
 
 
 def pii_key(spark: SparkSession) -> str:
-    return spark.conf.get("spark.inkwell.pii.key", DEMO_KEY)
+    key = spark.conf.get("spark.inkwell.pii.key", "")
+    if not key:
+        warnings.warn("spark.inkwell.pii.key is not set: pseudonyms are made with a public demonstration key and protect nothing", stacklevel=3)
+    return key or DEMO_KEY
 
 
 def pseudonyms(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with personal values in `text` replaced by keyed pseudonyms of the same format, and a column n_replaced.
 
     Recognised and validated: card numbers of 13 to 19 digits in any groups (Luhn), IBANs (mod 97), US social security numbers, dates of 1900 to 2099,
-    IPv4 addresses, telephone numbers and e-mail addresses (their local part). A value that fails its validation stays; of a card
-    number or IBAN with further groups behind it the longest valid part up to the end of a group counts. Each
-    kind is permuted by a Feistel network over its own valid strings under the key, so equal values get equal
-    pseudonyms in all documents and different ones different; check digits are made anew.
+    public IPv4 addresses, e-mail addresses (their local part), and telephone numbers of 9 to 15 digits with `+` and country code, or in the forms (ddd) ddd-dddd, ddd-ddd-dddd
+    and ddd.ddd.dddd. A value that fails its validation stays, and the scan goes on inside it; of a card number, IBAN or
+    international telephone number with further groups behind it the longest valid part up to the end of a group counts, of a telephone
+    number one of its country's length if there is one, and none into which a valid card, IBAN, date or social security number falls.
+
+    Each kind is permuted by a Feistel network over its own valid strings under the key, so equal values get equal
+    pseudonyms in all documents and different ones different; check digits are made anew. One day has one pseudonym in all forms
+    but month/day/year, and a telephone number one with separators and without. A permutation has fixed points: a value may be its own
+    pseudonym, which is likely only for e-mail names of one letter (1 in 26), and counts as replaced.
 
     Null text stays null, empty text empty, both with n_replaced 0; whole texts are processed. Repeated rows and further
     columns pass through; a column named n_replaced is replaced. An empty table gives an empty result.

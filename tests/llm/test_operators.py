@@ -199,6 +199,82 @@ def test_card_groups_leave_dates_and_phones_whole():
         assert got[1] == pii.pseudonymised(f, date)[0] and got[3] == pii.pseudonymised(f, phone)[0]
 
 
+@pytest.mark.parametrize(
+    "text,values",
+    [
+        ("+1 415 555 0123 4111 1111 1111 1111", ["+1 415 555 0123", "4111 1111 1111 1111"]),
+        ("+1 415 555 0123 2024-01-02", ["+1 415 555 0123", "2024-01-02"]),
+        ("call +44 20 7183 8750 020 7183 8751", ["+44 20 7183 8750"]),
+        ("call +442071838750 2024 now", ["+442071838750"]),
+        ("+49 30 12345 4111 1111 1111 1111", ["+49 30 12345", "4111 1111 1111 1111"]),
+        ("+123456789012345678 4111111111111111", ["4111111111111111"]),
+        ("000-12-3456 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+        ("DE89370400440532013000 +1 415 555 0123 97.51.17.173", ["DE89370400440532013000", "+1 415 555 0123", "97.51.17.173"]),
+    ],
+)
+def test_phones_end_where_others_begin(text, values):
+    f = pii.Feistel("k")
+    got, n = pii.pseudonymised(f, text)
+    want = text
+    for v in values:
+        want = want.replace(v, pii.pseudonymised(f, v)[0])
+    assert (got, n) == (want, len(values)) and not any(v in got for v in values)
+
+
+def test_phones_link_in_all_forms():
+    one = [re.sub("[^0-9]", "", pii.pseudonymised(pii.Feistel("k"), v)[0]) for v in ("+14155550123", "+1 415 555 0123", "+1 (415) 555-0123")]
+    assert len(set(one)) == 1 and one[0][0] == "1"
+    assert re.sub("[^0-9]", "", pii.pseudonymised(pii.Feistel("k"), "(415) 555-0123")[0]) == one[0][1:]
+
+
+def test_dates_of_all_forms_have_pseudonyms_of_their_own():
+    f = pii.Feistel("k")
+    days = [f"{y}-{m:02d}-{d:02d}" for y in range(1900, 2100, 7) for m in range(1, 13) for d in range(1, 29)]
+    slashed = {f"{d:02d}/{m:02d}/{y}" for y in range(1990, 2011) for m in range(1, 32) for d in range(1, 32) if min(m, d) < 13 and max(m, d) < 29}
+    new = [pii._date(f, s) for s in slashed]
+    assert len(set(new)) == len(slashed) and None not in new
+    assert all(pii._date(f, s) is not None for s in set(new))
+    iso = [pii._date(f, s) for s in days]
+    assert len(set(iso)) == len(days)
+    turn = lambda s: f"{s[8:]}/{s[5:7]}/{s[:4]}"
+    assert [pii._date(f, turn(s)) for s in days[:500]] == list(map(turn, iso[:500]))
+
+
+def scanned_everywhere(f, text):
+    """The values found by trying every kind at every place, without search or screen."""
+    out, n, at = "", 0, 0
+    while at < len(text):
+        if got := pii._accepted(f, text, at):
+            out, n, at = out + got[1], n + 1, at + len(got[0])
+        else:
+            out, at = out + text[at], at + 1
+    return out, n
+
+
+def test_neighbouring_values_of_all_kinds():
+    rng, f = random.Random(20), pii.Feistel("k")
+    make = {
+        "card": lambda: rng.choice(["4111 1111 1111 1111", "4222222222222", "3056-930902-5904"]),
+        "iban": lambda: rng.choice(["DE89 3704 0044 0532 0130 00", "BE68539007547034"]),
+        "date": lambda: f"{rng.randint(1900, 2099)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}",
+        "ssn": lambda: f"{rng.randint(1, 665):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "phone": lambda: rng.choice(["+1 415 555 0123", "+442071838750", "(415) 555-0123", "415-555-0123"]),
+        "ip": lambda: f"{rng.randint(1, 126)}.{rng.randint(0, 255)}.7.{rng.randint(0, 255)}",
+        "email": lambda: f"name{rng.randint(1, 99)}@x.org",
+    }
+    for _ in range(1500):
+        kinds = rng.choices(list(make), k=rng.randint(1, 4))
+        values = [make[k]() for k in kinds]
+        noise = rng.choice(["", "7 ", "12345 ", "x1 ", "2024 "])
+        for text in (", ".join(values), noise + " and ".join(values), "; ".join(values) + " " + noise):
+            got, n = pii.pseudonymised(f, text)
+            assert (got, n) == scanned_everywhere(f, text) and n >= len(values)
+            assert pii._replaced(pa.array([text]), f)[0].to_pylist() == [got]
+            assert not any(v in got for v in values if len(v) > 8)
+        got, n = pii.pseudonymised(f, " ".join(values))
+        assert (got, n) == scanned_everywhere(f, " ".join(values)) and not any(v in got for v in values if len(v) > 8), values
+
+
 @pytest.mark.parametrize("value", ["4111111111111112", "999.1.1.1", "127.0.0.1", "2023-02-30", "000-12-3456", "DE00 3704 0044 0532 0130 00", "version 4.0.", "12345", "a@b"])
 def test_invalid_values_stay(value):
     assert pii.pseudonymised(pii.Feistel("k"), value) == (value, 0)

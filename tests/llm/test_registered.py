@@ -2,9 +2,10 @@ import corpus_pipeline
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tests.llm.test_operators import scanned_everywhere
 from tests.test_queries import compare
 
-from inkwell.llm import queries
+from inkwell.llm import pii, queries
 from inkwell.llm.bpe import encoder, split_words
 from inkwell.llm.common import load, tokenizer_path
 
@@ -29,6 +30,15 @@ def test_nearest_as_registered(spark):
     assert np.mean([len(true[q] & set(g)) / 10 for q, g in got]) >= 0.9
 
 
+def test_pseudonyms_as_registered(spark):
+    """Every text against the plain scan of all kinds at all places, with neither search nor screen."""
+    sf_dir = "/root/testdata/sf0.001"
+    f = pii.Feistel(pii.DEMO_KEY)
+    texts = {r["doc_id"]: r["text"] for r in load(spark, sf_dir, "documents").collect()}
+    got = {r["doc_id"]: (r["text"], r["n_replaced"]) for r in queries.QUERIES["op5_pseudonyms"](spark, sf_dir).collect()}
+    assert got == {k: scanned_everywhere(f, t) for k, t in texts.items()} and sum(n for _, n in got.values()) > 20
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage's decisions against its operator's own output, and the last one's tokens against plain merging."""
     sf_dir = "/root/testdata/sf0.001"
