@@ -196,7 +196,7 @@ def probed(indexed: DataFrame, queries: DataFrame, width: int) -> tuple[DataFram
     else:
         open_ = queries.select("vec_id").where("false")
     apart = F.aggregate(F.zip_with("code", "q_code", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    near = probes.join(rows, ["j", "value"]).where((F.col("q") != F.col("vec_id")) & (apart <= 2 * F.size("code") - 1)).select("q", "vec_id").distinct()
+    near = probes.hint("merge").join(rows, ["j", "value"]).where((F.col("q") != F.col("vec_id")) & (apart <= 2 * F.size("code") - 1)).select("q", "vec_id").distinct()
     near = materialize(near, "probed")
     with_own = near.join(queries.select(F.col("vec_id").alias("q"), F.col("v").alias("q_v")), "q").join(indexed.select("vec_id", "v"), "vec_id")
     s = F.aggregate(F.zip_with("v", "q_v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda a, x: a + x)
