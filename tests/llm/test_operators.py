@@ -2,6 +2,7 @@
 
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -144,6 +145,49 @@ def test_fixity_audit_finds_the_damage(spark):
     assert fixity.audit(a, a).count() == 0
     assert fixity.audit(a.limit(0), a.limit(0)).count() == 0
     assert fixity.audit(a.where("page_id < 3"), a.limit(0)).count() == 3
+    assert {r["status"] for r in fixity.audit(a.limit(0), a.where("page_id < 3")).collect()} == {"extra"}
+
+
+def brute_audit(old, new):
+    """Statuses by (page_id, number of copies), from multisets of records."""
+    a, b = (Counter((i, u or "", h or "") for i, u, h in rows) for rows in (old, new))
+    lost, gained = a - b, b - a
+    out = Counter()
+    for i in {r[0] for r in [*lost, *gained]}:
+        x, y = ({r: n for r, n in c.items() if r[0] == i} for c in (lost, gained))
+        if i is not None and sum(x.values()) == sum(y.values()) == 1:
+            out[i, 1, "corrupt"] += 1
+        else:
+            for rows, status in ((x, "missing"), (y, "extra")):
+                for n in rows.values():
+                    out[i, n, status] += 1
+    return out
+
+
+def test_fixity_audit_equals_brute_force(spark):
+    rng = random.Random(21)
+    base = [(k, f"u{k}", f"<p>{k % 7}</p>") for k in range(20)]
+    moved = [(k if k < 7 else k + 1, u, h) for k, u, h in base]
+    file_ = [(1024 + k, f"u{k}", "x") for k in range(600)]
+    hot = [(9, f"u{k}", "y" * (k % 5)) for k in range(5000)] + [(None, f"n{k}", None) for k in range(5000)] + [(None, "same", "z")] * 5000
+    cases = [(base, moved), (file_, [(k - 512, u, h) for k, u, h in file_]), (hot + base, hot[1:4990] + hot[5003:14_990] + base[:7] + [(-3, "neg", "h"), (10**12, "far", "h")])]
+    for _ in range(2):
+        rows = [(rng.choice([None, rng.randint(-40, 1300)]), rng.choice(["a", "b", None]), rng.choice(["", "x", None, "long " * 9000])) for _ in range(400)]
+        cases.append((rows, [r if rng.random() > 0.1 else (r[0], "c", r[2]) for r in rows if rng.random() > 0.05] + rng.choices(rows, k=5)))
+    for old, new in cases:
+        frames = [spark.createDataFrame(x, "page_id long, url string, html string") for x in (old, new)]
+        got = Counter((r["page_id"], r["copies"], r["status"]) for r in fixity.audit(*frames).collect())
+        assert got == brute_audit(old, new) and got
+
+
+def test_offsets_follow_one_another(spark):
+    rows = [(k % 3 if k % 4 else None, f"u{k % 50}", "h" * (k % 11)) for k in range(300)]
+    got = fixity.leaves(spark.createDataFrame(rows, "page_id long, url string, html string")).orderBy("warc_file", "slot").collect()
+    at, slot = {}, {}
+    for r in got:
+        assert r["offset"] == at.get(r["warc_file"], 0) and r["slot"] == slot.get(r["warc_file"], 0)
+        at[r["warc_file"]], slot[r["warc_file"]] = r["offset"] + r["length"] * r["copies"], r["slot"] + 1
+    assert sum(r["copies"] for r in got) == 300
 
 
 # ---- 5 ----
