@@ -464,8 +464,8 @@ def levenshtein_in(item, text):
 
 def test_leaks_equal_brute_force(spark):
     rng = random.Random(9)
-    items = [(k, prose(rng, rng.randint(12, 40))) for k in range(12)] + [(20, "tiny"), (21, None), (None, "null id item of some length"), (22, "")]
-    rows = [(900, None), (901, ""), (None, items[0][1])]
+    items = [(k, prose(rng, rng.randint(12, 40))) for k in range(12)] + [(20, "tiny"), (21, None), (None, "null id item of some length"), (22, ""), (23, "a b"), (24, "exactly 15 byt"), (25, "!?")]
+    rows = [(900, None), (901, ""), (None, items[0][1]), (902, "A, b; tiny"), (903, "xa b tinyx"), (904, "exactly 15 bytes"), (905, "tiny"), (906, "a"), (907, "b"), (908, prose(rng, 60_000) + " " + items[3][1])]
     for k in range(60):
         t = prose(rng, rng.randint(5, 120))
         if k % 2:
@@ -481,7 +481,12 @@ def test_leaks_equal_brute_force(spark):
     for i, t in rows:
         for j, item in items:
             a, b = (" ".join(norm(x or "")).encode() for x in (item, t))
-            if j is not None and len(a) >= decontaminate.Q and (d := levenshtein_in(a, b)) <= decontaminate.edit_limit(len(a)):
+            if j is not None and 0 < len(a) < decontaminate.Q and b" " + a + b" " in b" " + b + b" ":
+                want.append((i, j, 0))
+            if j is not None and len(a) >= decontaminate.Q and i == 908:
+                if a in b:
+                    want.append((i, j, 0))
+            elif j is not None and len(a) >= decontaminate.Q and (d := levenshtein_in(a, b)) <= decontaminate.edit_limit(len(a)):
                 want.append((i, j, d))
     key = lambda x: tuple(map(str, x))
     docs = table(spark, rows)
@@ -507,6 +512,34 @@ def test_long_items_are_found_at_the_limit():
     assert {(r, i) for r, i, _ in b.matches(pa.array(texts))} == {(k, k) for k in range(len(items))}
 
 
+def edited(rng, text, edits):
+    out = list(text)
+    for _ in range(edits):
+        at = rng.randrange(len(out))
+        out[at : at + rng.randint(0, 1)] = rng.choice("abcxyz")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 0.075, 0.09, 0.0999])
+def test_target_recall_up_to_the_limit(share):
+    rng = random.Random(22)
+    items = [" ".join(norm(prose(rng, n % 60 + 12))) for n in range(200)]
+    b = decontaminate.Benchmark(list(range(200)), items)
+    assert all(c.walks for c in b.classes)
+    texts = [f"{prose(rng, 20)} {edited(rng, item, int(len(item) * share))} {prose(rng, 20)}" for item in items]
+    assert decontaminate.edit_limit(200) == 20
+    found = {(r, i) for r, i, _ in b.matches(pa.array(texts))}
+    assert sum((k, k) in found for k in range(200)) >= 200 * decontaminate.RECALL
+
+
+def test_classes_are_at_most_64():
+    rng = random.Random(23)
+    sizes = [int(9 * 1.3**k) for k in range(1, 55)] + [30_000_000]
+    items = ["".join(rng.choices("abcdefgh ", k=n)) for n in sizes[:40]] + ["ab cd ef gh " * (n // 12 + 1) for n in sizes[40:]]
+    b = decontaminate.Benchmark(list(range(len(items))), items, walks=[0] * 64)
+    assert len(b.classes) <= 64 and sum(len(c.own) for c in b.classes) == len(items)
+
+
 def test_benchmark_passes_give_the_same(spark, monkeypatch):
     rng = random.Random(10)
     items = [(k, prose(rng, 30)) for k in range(9)]
