@@ -16,9 +16,9 @@ BINS = 1 << 20
 SAMPLE = 10_000
 FACTORS = 4
 META = 64
+#: Value of a metadata feature; words have 1.
+META_VALUE = 0.1
 Z_MIN, DF_MIN = 4.0, 5
-#: Word features of each head: those that tell the classes apart best.
-WORDS_OF_HEAD = 512
 
 
 def words_and_stats(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,19 +53,59 @@ def interact(linear: np.ndarray, factors: np.ndarray, x: np.ndarray) -> np.ndarr
     return x @ linear + 0.5 * ((x @ factors) ** 2 - (x**2) @ (factors**2)).sum(axis=1)
 
 
-def fit_head(x: np.ndarray, y: np.ndarray, epochs: int = 60, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> dict:
-    """Logistic FM by mini-batch AdaGrad over dense rows."""
+class Features:
+    """Sparse rows: numbers of the words present with their bounds by row, metadata buckets, and scaled statistics."""
+
+    def __init__(self, words: np.ndarray, bounds: np.ndarray, meta: np.ndarray, stats: np.ndarray):
+        self.words, self.bounds, self.meta, self.stats = words, bounds, meta, stats
+
+    def __len__(self) -> int:
+        return len(self.stats)
+
+    def take(self, rows: np.ndarray) -> Features:
+        size = np.diff(self.bounds)[rows]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        return Features(self.words[np.repeat(self.bounds[rows] - bounds[:-1], size) + np.arange(bounds[-1])], bounds, self.meta[rows], self.stats[rows])
+
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self)), np.diff(self.bounds))
+
+    def dot(self, table: np.ndarray, power: int = 1) -> np.ndarray:
+        """x**power times each column of a table over words, metadata and statistics, in time linear in the features present."""
+        n_words = len(table) - META - self.stats.shape[1]
+        rows = self.rows()
+        out = np.stack([np.bincount(rows, c, len(self)) for c in table[:n_words].T[:, self.words]], axis=1).astype(np.float32)
+        out += table[n_words + self.meta].sum(axis=1) * np.float32(META_VALUE**power)
+        return out + self.stats**power @ table[n_words + META :]
+
+    def back(self, values: np.ndarray, n_words: int, power: int = 1) -> np.ndarray:
+        """The transpose of dot(): for each feature the sum over rows of x**power times the row's values."""
+        words = np.stack([np.bincount(self.words, c, n_words) for c in values.T[:, self.rows()]], axis=1)
+        meta = np.stack([np.bincount(self.meta.ravel(), np.repeat(c, self.meta.shape[1]), META) for c in values.T], axis=1) * META_VALUE**power
+        return np.concatenate([words, meta, (self.stats**power).T @ values]).astype(np.float32)
+
+
+def margin(p: dict, x: Features) -> tuple[np.ndarray, np.ndarray]:
+    """FM score of sparse rows by the sum-of-squares identity, and the rows' factor sums."""
+    first = x.dot(np.column_stack([p["w"], p["v"]]))
+    squares = x.dot((p["v"] ** 2).sum(axis=1, keepdims=True), 2)
+    return p["b"] + first[:, 0] + 0.5 * ((first[:, 1:] ** 2).sum(axis=1) - squares[:, 0]), first[:, 1:]
+
+
+def fit_head(x: Features, y: np.ndarray, n_words: int, epochs: int = 60, rate: float = 0.05, l2: float = 1e-4, seed: int = 5) -> dict:
+    """Logistic FM by mini-batch AdaGrad over sparse rows."""
     rng = np.random.default_rng(seed)
-    p = {"b": np.zeros(1, np.float32), "w": np.zeros(x.shape[1], np.float32), "v": rng.normal(0, 0.01, (x.shape[1], FACTORS)).astype(np.float32)}
+    size = n_words + META + x.stats.shape[1]
+    p = {"b": np.zeros(1, np.float32), "w": np.zeros(size, np.float32), "v": rng.normal(0, 0.01, (size, FACTORS)).astype(np.float32)}
     total = {k: np.full_like(v, 1e-6) for k, v in p.items()}
     for _ in range(epochs):
         order = rng.permutation(len(x))
         for k in range(0, len(x), 256):
-            r = x[order[k : k + 256]]
-            z = p["b"] + interact(p["w"], p["v"], r)
-            g = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[order[k : k + 256]]) / len(r)
-            rv = r @ p["v"]
-            grads = {"b": g.sum(keepdims=True), "w": r.T @ g + l2 * p["w"], "v": r.T @ (g[:, None] * rv) - ((r**2).T @ g)[:, None] * p["v"] + l2 * p["v"]}
+            r = x.take(order[k : k + 256])
+            z, rv = margin(p, r)
+            g = ((1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[order[k : k + 256]]) / len(r)).astype(np.float32)
+            d = r.back(np.column_stack([g, g[:, None] * rv]), n_words)
+            grads = {"b": g.sum(keepdims=True), "w": d[:, 0] + l2 * p["w"], "v": d[:, 1:] - r.back(g[:, None], n_words, 2) * p["v"] + l2 * p["v"]}
             for name, d in grads.items():
                 total[name] += d * d
                 p[name] -= rate * d / np.sqrt(total[name])
@@ -78,31 +118,27 @@ class Model:
     def __init__(self, buckets: np.ndarray, mean: np.ndarray, scale: np.ndarray):
         self.buckets, self.mean, self.scale, self.heads = buckets, mean, scale, {}
 
-    def features(self, words: np.ndarray, bounds: np.ndarray, stats: np.ndarray, meta: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(stats), len(self.buckets) + META + stats.shape[1]), np.float32)
-        if len(self.buckets) and len(words):
-            at = np.minimum(np.searchsorted(self.buckets, words), len(self.buckets) - 1)
-            hit = np.flatnonzero(self.buckets[at] == words)
-            x[np.searchsorted(bounds, hit, "right") - 1, at[hit]] = 1
-        for k in range(meta.shape[1]):
-            x[np.arange(len(stats)), len(self.buckets) + meta[:, k]] = 0.1
-        x[:, len(self.buckets) + META :] = np.clip((stats - self.mean) / self.scale, -6, 6)
-        return x
+    def features(self, words: np.ndarray, bounds: np.ndarray, stats: np.ndarray, meta: np.ndarray) -> Features:
+        """Rows of all words of texts: each selected bucket counts once in a row."""
+        n = len(self.buckets)
+        number = np.full(BINS, -1, np.int32)
+        number[self.buckets] = np.arange(n)
+        hit = np.flatnonzero(number[words] >= 0) if len(words) else np.empty(0, np.int64)
+        pairs = np.unique((np.searchsorted(bounds, hit, "right") - 1) * max(1, n) + number[words[hit]])
+        rows, present = np.divmod(pairs, max(1, n))
+        return Features(present, np.searchsorted(rows, np.arange(len(stats) + 1)), meta, np.clip((stats - self.mean) / self.scale, -6, 6).astype(np.float32))
 
-    def score(self, head: str, x: np.ndarray) -> np.ndarray:
-        p = self.heads[head]
-        return 1 / (1 + np.exp(-np.clip((p["b"] + interact(p["w"], p["v"], x)).astype(np.float64), -30, 30)))
+    def score(self, head: str, x: Features) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(margin(self.heads[head], x)[0].astype(np.float64), -30, 30)))
 
 
 def telling(words: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Word buckets whose document frequency differs between the classes by Z_MIN standard errors, in DF_MIN documents at
-    least; the WORDS_OF_HEAD with the largest difference. Words are distinct in each row."""
+    """All word buckets whose document frequency differs between the classes by Z_MIN standard errors, in DF_MIN documents at
+    least. Words are distinct in each row."""
     df, pos = np.bincount(words, minlength=BINS), np.bincount(words[y[rows] > 0], minlength=BINS)
     rate = y.mean()
     z = (pos - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate), 1e-9))
-    z = np.where(df >= DF_MIN, np.abs(z), 0)
-    best = np.lexsort((np.arange(BINS), -z))[:WORDS_OF_HEAD]
-    return best[z[best] >= Z_MIN]
+    return np.flatnonzero((df >= DF_MIN) & (np.abs(z) >= Z_MIN))
 
 
 def fit(words: list[np.ndarray], stats: np.ndarray, meta: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> Model:
@@ -111,7 +147,7 @@ def fit(words: list[np.ndarray], stats: np.ndarray, meta: np.ndarray, quality: n
     chosen = np.unique(np.concatenate([telling(flat, rows, y) for y in (quality, toxic)]))
     model = Model(chosen.astype(np.int32), stats.mean(axis=0), stats.std(axis=0) + 1e-3)
     x = model.features(flat, bounds, stats, meta)
-    model.heads = {"quality": fit_head(x, quality), "toxic": fit_head(x, toxic)}
+    model.heads = {"quality": fit_head(x, quality, len(chosen)), "toxic": fit_head(x, toxic, len(chosen))}
     return model
 
 

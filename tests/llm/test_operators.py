@@ -426,6 +426,44 @@ def test_interactions_equal_pairs():
     assert np.allclose(quality.interact(w, v, x), want)
 
 
+def test_sparse_rows_equal_dense_ones():
+    rng = np.random.default_rng(24)
+    bounds = np.array([0, 0, 4, 5, 9])
+    x = quality.Features(np.array([0, 1, 5, 6, 3, 0, 2, 4, 6]), bounds, rng.integers(0, quality.META, (4, 2)), rng.normal(size=(4, 10)).astype(np.float32))
+    dense = np.zeros((4, 7 + quality.META + 10))
+    for r in range(4):
+        dense[r, x.words[bounds[r] : bounds[r + 1]]] = 1
+        for m in x.meta[r]:
+            dense[r, 7 + m] += quality.META_VALUE
+    dense[:, 7 + quality.META :] = x.stats
+    p = {"b": np.float32(0.3), "w": rng.normal(size=dense.shape[1]), "v": rng.normal(size=(dense.shape[1], 3))}
+    each = dense.copy()
+    each[:, 7 : 7 + quality.META] = 0
+    want = quality.interact(p["w"], p["v"], dense) + 0.3
+    twice = [r for r in range(4) if x.meta[r, 0] == x.meta[r, 1]]
+    ok = [r for r in range(4) if r not in twice]
+    assert np.allclose(quality.margin(p, x)[0][ok], want[ok], atol=1e-4)
+    g = rng.normal(size=(4, 2))
+    assert np.allclose(x.back(g, 7), dense.T @ g, atol=1e-4)
+    part = x.take(np.array([3, 0, 1]))
+    assert np.allclose(part.dot(p["v"]), (dense @ p["v"])[[3, 0, 1]], atol=1e-4)
+
+
+def test_words_of_whole_texts_count():
+    """Words far beyond any bound of old decide: thousands of telling words, each in few texts, and one at the end of a very long text."""
+    rng = random.Random(25)
+    bad = [f"bad{k}word" for k in range(900)]
+    rows = [(prose(rng, 30) + (" " + " ".join(rng.sample(bad, 30)) if k % 2 else ""), k % 2) for k in range(1600)]
+    words, bounds, stats = quality.words_and_stats(pa.array([t for t, _ in rows]))
+    y = np.array([b for _, b in rows], np.float32)
+    model = quality.fit([np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], stats, np.zeros((1600, 2), np.int64), 1 - y, y)
+    assert len(model.buckets) > 700
+    long = " ".join([prose(rng, 40)] + ["the"] * 200_000)
+    words, bounds, stats = quality.words_and_stats(pa.array([long, long + " " + " ".join(bad[:60])]))
+    x = model.features(words, bounds, stats, np.zeros((2, 2), np.int64))
+    assert len(x.words) > 50 and x.bounds[1] < 5
+
+
 def test_quality_on_held_out_rows(spark):
     rng = random.Random(8)
     rows, labels = [], []

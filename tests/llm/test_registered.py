@@ -1,11 +1,12 @@
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tests.llm.test_operators import scanned_everywhere
 from tests.test_queries import compare
 
-from inkwell.llm import pii, queries
+from inkwell.llm import pii, quality, queries
 from inkwell.llm.bpe import encoder, split_words
 from inkwell.llm.common import load, tokenizer_path
 
@@ -39,6 +40,30 @@ def test_pseudonyms_as_registered(spark):
     assert got == {k: scanned_everywhere(f, t) for k, t in texts.items()} and sum(n for _, n in got.values()) > 20
 
 
+def test_quality_as_registered(spark):
+    """Every score against the sum over all pairs of features, text by text."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = load(spark, sf_dir, "documents").toPandas()
+    model = quality.train(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+    got = queries.QUERIES["op7_quality"](spark, sf_dir).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    for r in docs.itertuples():
+        words, _, stats = quality.words_and_stats(pa.array([r.text]))
+        meta = quality.meta_bins([r.lang], [r.source])[0] + len(model.buckets)
+        values = dict.fromkeys(np.flatnonzero(np.isin(model.buckets, words)).tolist(), 1.0)
+        values |= {int(m): quality.META_VALUE for m in meta}
+        scaled = np.clip((stats[0] - model.mean) / model.scale, -6, 6)
+        values |= {len(model.buckets) + quality.META + k: float(v) for k, v in enumerate(scaled)}
+        at, x = np.array(list(values)), np.array(list(values.values()))
+        for head in ("quality", "toxic"):
+            p = model.heads[head]
+            v = p["v"][at].astype(float) * x[:, None]
+            z = float(p["b"][0]) + p["w"][at] @ x + sum(v[i] @ v[:i].sum(axis=0) for i in range(len(at)))
+            want = 1 / (1 + np.exp(-np.clip(z, -30, 30))) if len(words) else 0.0
+            if meta[0] != meta[1]:
+                assert abs(got[head][r.doc_id] - want) < 1e-3
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage's decisions against its operator's own output, and the last one's tokens against plain merging."""
     sf_dir = "/root/testdata/sf0.001"
