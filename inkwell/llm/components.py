@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkwell.llm.common import materialize
@@ -12,7 +12,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(doc_id, comp) for each id that has an edge; comp is the smallest id reachable. Columns of edges: a, b.
 
     Null ids and loops are ignored, repeated edges count once, an empty table gives an empty result. Each round
-    rewrites the id pairs only, and the number of rounds grows with the logarithm of the longest chain.
+    rewrites the id pairs only, and the number of rounds grows with the logarithm of the longest chain. Least neighbours are
+    aggregated before they are shuffled and joined back, so the edges of a hub need not meet in one task.
     """
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
@@ -21,9 +22,10 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == seen:
             break
         seen = mark
-        at = Window.partitionBy("u")
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.withColumn("m", F.least("u", F.min("v").over(at))).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.where("u > v").distinct().withColumn("m", F.min("v").over(at))
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        large = e.select(F.col("v").alias("u"), F.col("u").alias("far")).join(least, "u").select(F.col("far").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.where("u > v").distinct(), "stars")
+        small = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         e = materialize(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where("u > v").distinct(), "edges")
     return e.groupBy(F.col("u").alias("doc_id")).agg(F.min("v").alias("comp")).unionByName(e.select(F.col("v").alias("doc_id"), F.col("v").alias("comp")).distinct())

@@ -17,6 +17,8 @@ SHINGLE = 2
 THRESHOLD = 0.6
 BANDS, ROWS = 40, 5
 DOMAIN = 1 << 22
+#: Documents of each open bucket that are compared with the rest of it in one round.
+HUBS = 16
 
 
 @lru_cache(maxsize=1)
@@ -86,36 +88,57 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bigrams; group_id is the smallest doc_id and the one to keep. 40 bands of 5 rows find a pair of similarity 0.6 with
     probability 0.96, of 0.7 with 0.999, and any chain of pairs joins a group.
 
-    Pairs are compared in two passes. First each document is verified against one document, the smallest that shares a
-    bucket with it; that joins large groups at linear cost. Then all pairs that share a bucket and are still in different
-    components are verified; a pair within one component cannot change the result, so nothing is left out.
+    Pairs are compared in rounds, each linear in the rows of the buckets. In the first, each document is verified against one, the smallest that shares a
+    bucket with it; that joins large groups. Buckets whose documents are not all in one component stay open: in
+    each further round HUBS documents of each open bucket are verified against all those of other components in it and then leave
+    the bucket, until no bucket is open. A pair within one component cannot change the result, so nothing is left out. No
+    task gathers a bucket: its ends are aggregated before they are shuffled, and its rows only stream by.
 
-    Null doc_id or text and texts without words are never grouped. Rows that repeat a doc_id are one document, similar
+    Ids must be numeric. Null doc_id or text and texts without words are never grouped; texts of any length count whole. Rows that repeat a doc_id are one document, similar
     where any of its texts is. Further columns are ignored; an empty table gives an empty result.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     signed = arrow_map(source.where("doc_id IS NOT NULL AND text IS NOT NULL"), ["doc_id", "text"], _bands, "doc_id long, bands array<long>")
-    rows = signed.select("doc_id", F.explode("bands").alias("bucket"))
-    at = Window.partitionBy("bucket")
-    hit = rows.withColumns({"hub": F.min("doc_id").over(at), "top": F.max("doc_id").over(at)}).where("hub <> top")
-    members = materialize(hit.select("bucket", "doc_id", "hub"), "members")
-
-    first = materialize(members.where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "hub-pairs")
-    found = materialize(verified(source, first, threshold), "hub-edges")
-    comp = materialize(components(found), "hub-components")
-
-    placed = members.join(comp, "doc_id", "left").withColumn("comp", F.coalesce("comp", "doc_id"))
-    open_ = placed.withColumns({"low": F.min("comp").over(at), "high": F.max("comp").over(at)}).where("low <> high").select("bucket", "doc_id", "comp").distinct()
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.comp") != F.col("y.comp")))
-    rest = rest.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    rest = materialize(rest, "open-pairs")
-    found = found.select("a", "b").unionByName(verified(source, rest, threshold).select("a", "b"))
-    groups = materialize(components(found).distinct(), "components")
+    rows = materialize(signed, "signatures").select("doc_id", F.explode("bands").alias("bucket"))
+    hubs = rows.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("top")).where("hub <> top").select("bucket", "hub")
+    members = materialize(rows.join(hubs, "bucket").select("bucket", "doc_id", "hub"), "members")
+
+    tried = materialize(members.where("doc_id <> hub").groupBy(F.col("doc_id").alias("b")).agg(F.min("hub").alias("a")).select("a", "b"), "hub-pairs")
+    edges = materialize(verified(source, tried, threshold), "hub-edges").select("a", "b")
+    comp = materialize(components(edges), "hub-components")
+    edges = comp.select(F.col("comp").alias("a"), F.col("doc_id").alias("b"))
+
+    open_ = _open(members.join(comp, "doc_id", "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))
+    found = None
+    while open_.take(1):
+        order = Window.partitionBy("bucket").orderBy("doc_id")
+        turn = materialize(open_.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= HUBS).drop("turn"), "hubs")
+        x, y = open_.alias("x"), turn.alias("y")
+        pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")))
+        pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "open-pairs")
+        tried = tried.unionByName(pairs)
+        new = materialize(verified(source, pairs, threshold), "open-edges").select("a", "b")
+        found = new if found is None else found.unionByName(new)
+        rest = open_.join(turn, ["bucket", "doc_id"], "left_anti")
+        if new.take(1):
+            at = open_.select("doc_id", "comp").distinct()
+            links = new.join(at.toDF("a", "comp_a"), "a").join(at.toDF("b", "comp_b"), "b").select(F.col("comp_a").alias("a"), F.col("comp_b").alias("b"))
+            joined = components(links).select(F.col("doc_id").alias("comp"), F.col("comp").alias("least"))
+            rest = rest.join(joined, "comp", "left").select("bucket", "doc_id", F.coalesce("least", "comp").alias("comp"))
+        open_ = _open(rest)
+    groups = materialize(components(edges.unionByName(found)), "components") if found is not None else comp
     size = groups.groupBy("comp").agg(F.count("*").alias("n_members"))
     return groups.join(size, "comp").select("doc_id", F.col("comp").alias("group_id"), "n_members", (F.col("doc_id") == F.col("comp")).alias("keep"))
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """The distinct rows (bucket, doc_id, comp) of buckets with more than one component, written once."""
+    placed = materialize(placed.distinct(), "placed")
+    several = placed.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("bucket")
+    return materialize(placed.join(several, "bucket", "left_semi"), "open")
+
+
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without the documents that near_duplicates() marks; ungrouped rows, null ids among them, stay."""
     return without(docs, near_duplicates(docs, threshold).where("NOT keep"))
