@@ -55,7 +55,8 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = gram_hashes(words, Q)
         at = anchors(grams, bounds)
         row = np.searchsorted(bounds, at, "right") - 1
-        yield pa.record_batch([part.column("doc_id").take(pa.array(row)), pa.array(grams[at].view(np.int64)), pa.array((at - bounds[row]).astype(np.int32))], ["doc_id", "bucket", "pos"])
+        owner = [part.column(c).take(pa.array(row)) for c in ("doc_id", "copy")]
+        yield pa.record_batch([*owner, pa.array(grams[at].view(np.int64)), pa.array((at - bounds[row]).astype(np.int32))], ["doc_id", "copy", "bucket", "pos"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -202,21 +203,24 @@ def repeated_passages(docs: DataFrame, part: int = PART, chunk_bytes: int = CHUN
     copies. All occurrences are reported, the first among them; spans that overlap or touch are joined.
 
     Rows with null doc_id or text are left out; texts under 50 words have no window; a passage that only repeats within
-    one doc_id, repeated rows of it included, is not reported, and spans of rows that share a doc_id are joined. Further columns
-    are ignored; an empty table gives an empty result.
+    one doc_id, repeated rows of it included, is not reported, and spans of rows that share a doc_id are joined. Ids must be numeric,
+    texts may be of any length. Further columns are ignored; an empty table gives an empty result. Buckets and hashes are counted before they are
+    shuffled, then joined back, so that no task gathers the anchors of a passage that all documents share.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
-    found = arrow_map(source, ["doc_id", "text"], _anchored, "doc_id long, bucket long, pos int")
-    at = Window.partitionBy("bucket")
-    shared = found.withColumns({"low": F.min("doc_id").over(at), "high": F.max("doc_id").over(at), "n": F.count("*").over(at)}).where("low <> high")
-    marked = materialize(shared.groupBy("doc_id").agg(F.collect_list(F.struct("bucket", "pos", "n")).alias("anchors")), "anchors")
-    texts = restricted(source, marked.select("doc_id"))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("copy")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = arrow_map(source, ["doc_id", "copy", "text"], _anchored, "doc_id long, copy long, bucket long, pos int")
+    found = materialize(found, "found")
+    met = found.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low <> high").select("bucket", "n")
+    shared = found.join(met, "bucket").groupBy("doc_id", "copy")
+    marked = materialize(shared.agg(F.collect_set(F.struct("bucket", "pos", "n")).alias("anchors")), "anchors")
+    texts = restricted(source, materialize(marked.select("doc_id").distinct(), "marked"))
     bounded_batches(docs.sparkSession)
-    around = texts.join(marked, "doc_id").select("doc_id", "text", "anchors").mapInArrow(frugal(partial(_contexts, most=part)), "bucket long, part int, doc_id long, first int, text string")
+    around = texts.join(marked, ["doc_id", "copy"]).select("doc_id", "text", "anchors").mapInArrow(frugal(partial(_contexts, most=part)), "bucket long, part int, doc_id long, first int, text string")
     sorted_ = around.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
     found = materialize(sorted_.mapInArrow(frugal(partial(_spans, chunk_bytes=chunk_bytes)), "doc_id long, start long, stop long, h1 long, h2 long"), "spans")
-    same = Window.partitionBy("h1", "h2")
-    across = found.where("h1 IS NOT NULL").withColumns({"low": F.min("doc_id").over(same), "high": F.max("doc_id").over(same)}).where("low <> high AND start IS NOT NULL")
+    hashed = found.where("h1 IS NOT NULL")
+    several = hashed.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("h1", "h2")
+    across = hashed.where("start IS NOT NULL").join(several, ["h1", "h2"], "left_semi")
     spans = found.where("h1 IS NULL").select("doc_id", "start", "stop").unionByName(across.select("doc_id", "start", "stop")).distinct()
     order = Window.partitionBy("doc_id").orderBy("start", "stop")
     before = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
