@@ -15,6 +15,7 @@ from inkwell.llm.common import arrow_map, load, materialize, mix64
 #: Name parts of listed domains; the demonstration list is every key of the corpus under such a domain.
 LISTED = ("adult-x", "free-bets", "cheap-pills", "casino-win", "ads-track", "spam-farm")
 LATER_RATE = 1 / 64
+#: Bytes of filters that travel to the workers in one pass; more of them are split by ranges of keys.
 MAX_BYTES = 64 << 20
 _BUCKET_BITS = 4096 * 8
 
@@ -61,11 +62,17 @@ class Cascade:
         return out
 
 
-def _filter(keys: DataFrame, level: int, n: int, rate: float) -> Level | None:
-    """Bloom filter of the n keys at a false positive rate; its bits are gathered as 4 KB bitmaps by the executors. None beyond MAX_BYTES."""
-    bits = max(64, int(np.ceil(-n * np.log(rate) / np.log(2) ** 2)))
-    if bits > MAX_BYTES * 8:
-        return None
+def _bits(n: int, rate: float) -> int:
+    return max(64, int(np.ceil(-n * np.log(rate) / np.log(2) ** 2)))
+
+
+def _first_rate(listed: int, others: int) -> float:
+    return min(0.5, max(1e-6, 0.7 * listed / max(1, others)))
+
+
+def _filter(keys: DataFrame, level: int, n: int, rate: float) -> Level:
+    """Bloom filter of the n keys at a false positive rate; its bits are gathered as 4 KB bitmaps by the executors."""
+    bits = _bits(n, rate)
     hashes = max(1, round(bits / n * np.log(2)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,18 +89,14 @@ def _filter(keys: DataFrame, level: int, n: int, rate: float) -> Level | None:
     return Level(bits, hashes, whole)
 
 
-def build(universe: DataFrame) -> Cascade | None:
+def build(universe: DataFrame) -> Cascade:
     """Cascade over universe(h1, h2, listed), distinct by key: level 1 holds the listed keys, level 2 the others that level 1
-    wrongly has, level 3 the listed ones that level 2 wrongly has, and so on until a level is wrong about none. None if a
-    filter would pass MAX_BYTES."""
+    wrongly has, level 3 the listed ones that level 2 wrongly has, and so on until a level is wrong about none."""
     counts = universe.agg(F.count_if("listed").alias("r"), F.count_if(~F.col("listed")).alias("s")).first()
     inside, outside = universe.where("listed").select("h1", "h2"), universe.where("NOT listed").select("h1", "h2")
-    n, rate, levels = counts["r"], min(0.5, max(1e-6, 0.7 * counts["r"] / max(1, counts["s"]))), []
+    n, rate, levels = counts["r"], _first_rate(counts["r"], counts["s"]), []
     while n:
-        level = _filter(inside, len(levels), n, rate)
-        if level is None:
-            return None
-        number = len(levels)
+        level, number = _filter(inside, len(levels), n, rate), len(levels)
 
         def wrong(batches: Iterator[pa.RecordBatch], level: Level = level, number: int = number) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -105,32 +108,60 @@ def build(universe: DataFrame) -> Cascade | None:
     return Cascade(levels)
 
 
-def filter_urls(pages: DataFrame, listed: DataFrame) -> DataFrame:
-    """(page_id, url, key, blocked) for every row of pages; listed(key) is the block list in the form of url_key().
+def _keyed(pages: DataFrame) -> DataFrame:
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("key"))
 
-    The cascade's universe is every distinct key of pages, so its answers on pages are exact. It is built by as many
-    passes over distinct keys as it has levels and sent to the workers; a list whose filter would be over MAX_BYTES is
-    joined by key instead, with the same result.
 
-    Null url: key NULL, blocked false. An empty url is a key like any other. Null and repeated entries of the list and
-    entries that no page has are harmless. Repeated rows each give a row; further columns are ignored; an empty list blocks nothing.
-    """
-    keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", url_key(F.col("url")).alias("key"))
+def cascades(pages: DataFrame, listed: DataFrame) -> list[Cascade]:
+    """The cascades of the list over all distinct keys of pages, one for each range of keys: as few as keep each under MAX_BYTES. They can be
+    kept (by pickle) and applied to any pages of the same keys."""
     names = listed.select("key").where("key IS NOT NULL").distinct().withColumn("listed", F.lit(True))
-    distinct = keyed.where("key IS NOT NULL").groupBy("key").count().select("key")
+    distinct = _keyed(pages).where("key IS NOT NULL").select("key").distinct()
     marked = distinct.join(names, "key", "left").select(*hashed(F.col("key")), F.coalesce("listed", F.lit(False)).alias("listed"))
-    cascade = build(materialize(marked, "universe"))
-    if cascade is None:
-        return keyed.join(names, "key", "left").select("page_id", "url", "key", F.coalesce("listed", F.lit(False)).alias("blocked"))
-    sent = pages.sparkSession.sparkContext.broadcast(cascade)
+    universe = materialize(marked, "universe")
+    counts = universe.agg(F.count_if("listed").alias("r"), F.count_if(~F.col("listed")).alias("s")).first()
+    # Level 1, the others that it wrongly has, and a geometric rest; bitmaps come in whole pages.
+    total = _bits(counts["r"], _first_rate(counts["r"], counts["s"])) + 1.1 * _bits(counts["r"], LATER_RATE)
+    parts = max(1, int(np.ceil(total / 8 / MAX_BYTES)))
+    if parts == 1:
+        return [build(universe)]
+    split = materialize(universe.withColumn("part", _part(F.col("h1"), parts)), "ranges", "part")
+    return [build(split.where(F.col("part") == k)) for k in range(parts)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            known = np.asarray(b.column("key").is_valid())
-            hit = sent.value.has(*(b.column(c).to_numpy() for c in ("h1", "h2"))) & known
-            yield pa.record_batch([*(b.column(c) for c in ("page_id", "url", "key")), pa.array(hit)], ["page_id", "url", "key", "blocked"])
 
-    return arrow_map(keyed.select("*", *hashed(F.col("key"))), ["page_id", "url", "key", "h1", "h2"], run, "page_id long, url string, key string, blocked boolean")
+def _part(h1: Column, parts: int) -> Column:
+    """The range of the key space, of equal width, that a key's hash falls in."""
+    return F.shiftright(F.shiftrightunsigned(h1, 32) * parts, 32).cast("int")
+
+
+def filter_urls(pages: DataFrame, listed: DataFrame, built: list[Cascade] | None = None) -> DataFrame:
+    """(page_id, url, key, blocked) for every row of pages; listed(key) is the block list in the form of url_key().
+
+    The cascade's universe is every distinct key of pages, so its answers on pages are exact. It is built by as many
+    passes over distinct keys as it has levels and sent to the workers. Filters of over MAX_BYTES are split by ranges of the keys' hashes into
+    several cascades, each of which is applied in a pass of its own to the pages of its range. `built` takes cascades() kept
+    from before.
+
+    Ids must be numeric. Null url: key NULL, blocked false. An empty url is a key like any other, and one of any length counts whole. Null and repeated entries of the list and
+    entries that no page has are harmless. Repeated rows each give a row; further columns are ignored; an empty list blocks nothing; no pages give no rows.
+    """
+    built = cascades(pages, listed) if built is None else built
+    keyed = _keyed(pages).select("*", *hashed(F.col("key")))
+    names, schema = ["page_id", "url", "key", "h1", "h2"], "page_id long, url string, key string, blocked boolean"
+    out = None
+    for number, cascade in enumerate(built):
+        own = keyed if len(built) == 1 else keyed.where(F.coalesce(F.when(F.col("key").isNotNull(), _part(F.col("h1"), len(built))), F.lit(0)) == number)
+        sent = pages.sparkSession.sparkContext.broadcast(cascade)
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                known = np.asarray(b.column("key").is_valid())
+                hit = sent.value.has(*(b.column(c).to_numpy() for c in ("h1", "h2"))) & known
+                yield pa.record_batch([*(b.column(c) for c in ("page_id", "url", "key")), pa.array(hit)], ["page_id", "url", "key", "blocked"])
+
+        found = arrow_map(own, names, run, schema)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def demonstration_list(pages: DataFrame) -> DataFrame:

@@ -60,11 +60,12 @@ def scratch_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and read it back: lineage is cut, and a lost executor costs no recomputation."""
+def materialize(df: DataFrame, name: str, *partition: str) -> DataFrame:
+    """Write df once to the shared folder, in folders by the partition columns, and read it back: lineage is cut, and a lost executor
+    costs no recomputation."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
