@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, with nulls, empty, long and repeated rows, ties, empty tables and clashing columns."""
 
+import pickle
 import random
 import re
 from collections import Counter
@@ -93,6 +94,26 @@ def test_near_duplicates_equal_brute_force(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(str(i) for i, _ in rows if i not in gone)
 
 
+def test_one_bucket_of_all_rows(spark, monkeypatch):
+    """All documents share a bucket and most are dissimilar: rounds go on until every pair of different components is compared."""
+
+    def same(batches):
+        for b in batches:
+            yield pa.record_batch([b.column("doc_id"), pa.array([[7]] * b.num_rows, pa.list_(pa.int64()))], ["doc_id", "bands"])
+
+    rng, rows = random.Random(26), []
+    for k in range(24):
+        base = prose(rng, 40).split()
+        for c in range(k % 4 + 1):
+            # Each copy is near the one before and ever further from the first.
+            base = [w if rng.random() > 0.08 else rng.choice(WORDS) + "y" for w in base]
+            rows.append((10 * k + 3 - c if k % 2 else 10 * k + c, " ".join(base)))
+    monkeypatch.setattr(minhash, "_bands", same)
+    monkeypatch.setattr(minhash, "HUBS", 20)
+    got = sorted(tuple(r) for r in minhash.near_duplicates(table(spark, rows)).collect())
+    assert got == brute_groups(rows, minhash.THRESHOLD) and len(got) > 20
+
+
 def test_components_of_chains_and_empty(spark):
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (100, 101), (101, 101), (None, 3)]
     got = {r["doc_id"]: r["comp"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
@@ -123,12 +144,19 @@ def test_cascade_is_exact(spark):
     assert cascade.filter_urls(pages.limit(0), listed).count() == 0
 
 
-def test_cascade_beyond_its_bound_gives_the_same(spark, monkeypatch):
-    pages = spark.createDataFrame([(k, f"http://{'spam-farm' if k % 3 else 'ok'}.example.com/{k}") for k in range(60)], "page_id long, url string")
-    run = lambda: sorted(tuple(r) for r in cascade.filter_urls(pages, cascade.demonstration_list(pages)).collect())
-    want = run()
-    monkeypatch.setattr(cascade, "MAX_BYTES", 1)
-    assert run() == want
+def test_cascades_by_ranges_of_keys_give_the_same(spark, monkeypatch):
+    rows = [(k, f"http://{'spam-farm' if k % 3 else 'ok'}.example.com/{k}") for k in range(900)] + [(None, None), (1, "http://ok.example.com/" + "long" * 50_000)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = cascade.demonstration_list(pages)
+    order = lambda df: sorted((tuple(r) for r in df.collect()), key=str)
+    want = order(cascade.filter_urls(pages, listed))
+    assert len(cascade.cascades(pages, listed)) == 1 and [r[3] for r in want] == [bool(r[1]) and "spam-farm" in r[1] for r in want]
+    monkeypatch.setattr(cascade, "MAX_BYTES", 400)
+    built = cascade.cascades(pages, listed)
+    assert len(built) > 2 and order(cascade.filter_urls(pages, listed, built)) == want
+    kept = pickle.loads(pickle.dumps(built))
+    assert order(cascade.filter_urls(pages, listed, kept)) == want
+    assert max(sum(x.bits for x in c.levels) for c in built) < 8 * 400 * 1.5
 
 
 # ---- 4 ----
@@ -640,6 +668,16 @@ def test_split_buckets_keep_a_documents_second_copy(spark):
         assert sorted(tuple(r) for r in suffixes.repeated_passages(docs, part=part, chunk_bytes=chunk_bytes).collect()) == want
 
 
+def test_a_passage_that_all_documents_share(spark):
+    rng = random.Random(27)
+    licence = prose(rng, 70)
+    rows = [(k, f"{prose(rng, k % 9)} {licence} {prose(rng, 30)}") for k in range(200)] + [(7, f"{prose(rng, 90)} {licence}"), (8, licence), (8, licence)]
+    docs = table(spark, rows)
+    want = brute_spans(rows, suffixes.MIN_WORDS)
+    assert sorted(tuple(r) for r in suffixes.repeated_passages(docs).collect()) == want
+    assert sorted(tuple(r) for r in suffixes.repeated_passages(docs, part=10, chunk_bytes=2000).collect()) == want
+
+
 def test_anchors_are_the_least_grams():
     rng = np.random.default_rng(14)
     grams, bounds = rng.integers(0, 40, 700).astype(np.uint64) << np.uint64(50), np.array([0, 30, 300, 707])
