@@ -18,7 +18,7 @@ THRESHOLD = 0.6
 BANDS, ROWS = 40, 5
 DOMAIN = 1 << 22
 #: Documents of each open bucket that are compared with the rest of it in one round.
-HUBS = 16
+HUBS = 64
 
 
 @lru_cache(maxsize=1)
@@ -91,7 +91,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Pairs are compared in rounds, each linear in the rows of the buckets. In the first, each document is verified against one, the smallest that shares a
     bucket with it; that joins large groups. Buckets whose documents are not all in one component stay open: in
     each further round HUBS documents of each open bucket are verified against all those of other components in it and then leave
-    the bucket, until no bucket is open. A pair within one component cannot change the result, so nothing is left out. No
+    the bucket, until no bucket is open or all pairs left are at most HUBS for each row and are verified at once. A pair within one component cannot change the result, so nothing is left out. No
     task gathers a bucket: its ends are aggregated before they are shuffled, and its rows only stream by.
 
     Ids must be numeric. Null doc_id or text and texts without words are never grouped; texts of any length count whole. Rows that repeat a doc_id are one document, similar
@@ -109,17 +109,22 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     edges = comp.select(F.col("comp").alias("a"), F.col("doc_id").alias("b"))
 
     open_ = _open(members.join(comp, "doc_id", "left").select("bucket", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))
-    found = None
-    while open_.take(1):
+    found = texts = None
+    while size := _sizes(open_):
+        if texts is None:
+            texts = materialize(restricted(source.where("text IS NOT NULL"), materialize(open_.select("doc_id").distinct(), "open-ids")), "open-texts")
         order = Window.partitionBy("bucket").orderBy("doc_id")
-        turn = materialize(open_.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= HUBS).drop("turn"), "hubs")
+        turn = open_.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= HUBS).drop("turn")
+        turn = open_ if size[1] <= HUBS * size[0] else materialize(turn, "hubs")
         x, y = open_.alias("x"), turn.alias("y")
         pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")))
         pairs = pairs.select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "open-pairs")
         tried = tried.unionByName(pairs)
-        new = materialize(verified(source, pairs, threshold), "open-edges").select("a", "b")
+        new = materialize(verified(texts, pairs, threshold), "open-edges").select("a", "b")
         found = new if found is None else found.unionByName(new)
+        if turn is open_:
+            break
         rest = open_.join(turn, ["bucket", "doc_id"], "left_anti")
         if new.take(1):
             at = open_.select("doc_id", "comp").distinct()
@@ -132,6 +137,13 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return groups.join(size, "comp").select("doc_id", F.col("comp").alias("group_id"), "n_members", (F.col("doc_id") == F.col("comp")).alias("keep"))
 
 
+def _sizes(open_: DataFrame) -> tuple[int, int] | None:
+    """How many rows open buckets have, and how many pairs of different components; None without any."""
+    counts = open_.groupBy("bucket", "comp").count().groupBy("bucket").agg(F.sum("count").alias("n"), F.sum(F.col("count").cast("double") * F.col("count")).alias("own"))
+    rows, pairs = counts.agg(F.sum("n"), F.sum((F.col("n").cast("double") * F.col("n") - F.col("own")) / 2)).first()
+    return (rows, pairs) if rows else None
+
+
 def _open(placed: DataFrame) -> DataFrame:
     """The distinct rows (bucket, doc_id, comp) of buckets with more than one component, written once."""
     placed = materialize(placed.distinct(), "placed")

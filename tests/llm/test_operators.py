@@ -109,12 +109,14 @@ def test_one_bucket_of_all_rows(spark, monkeypatch):
             base = [w if rng.random() > 0.08 else rng.choice(WORDS) + "y" for w in base]
             rows.append((10 * k + 3 - c if k % 2 else 10 * k + c, " ".join(base)))
     monkeypatch.setattr(minhash, "_bands", same)
-    monkeypatch.setattr(minhash, "HUBS", 20)
+    monkeypatch.setattr(minhash, "HUBS", 12)
     got = sorted(tuple(r) for r in minhash.near_duplicates(table(spark, rows)).collect())
     assert got == brute_groups(rows, minhash.THRESHOLD) and len(got) > 20
 
 
-def test_components_of_chains_and_empty(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_of_chains_and_empty(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     chain = [(k, k + 1) for k in range(40)] + [(100, 101), (100, 101), (101, 101), (None, 3)]
     got = {r["doc_id"]: r["comp"] for r in components.components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(41)}, 100: 100, 101: 100}
