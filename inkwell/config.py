@@ -118,7 +118,8 @@ def canonical(path: str | Path) -> str | None:
 class Workspace:
     config: Config
     config_path: Path
-    store: Path
+    #: A local path, or a URI of a file system that Hadoop knows.
+    store: str | Path
     is_global: bool = False
 
     @classmethod
@@ -131,7 +132,8 @@ class Workspace:
             return cls(Config.load(path) if path.exists() else Config(vaults=[]), path, home / "global.index", True)
         path = Path(explicit or CONFIG_FILE)
         config = Config.load(explicit)
-        return cls(config, path, path.parent / config.db_dir / "local.index")
+        store = f"{config.db_dir.rstrip('/')}/local.index" if "://" in config.db_dir else path.parent / config.db_dir / "local.index"
+        return cls(config, path, store)
 
     def roots(self) -> list[str]:
         return [str(expand(v)) for v in self.config.vaults]

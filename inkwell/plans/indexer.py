@@ -1,10 +1,11 @@
-"""Incremental indexing: found files to a new snapshot, in one plan."""
+"""Incremental indexing: found files to a new snapshot. What changed is decided on hashes; contents are read of changed files alone."""
 
 from __future__ import annotations
 
 import os
 import sys
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,9 +15,13 @@ from inkwell.config import Workspace, canonical
 from inkwell.embed import embedded, known_dim
 from inkwell.functions import text as T
 from inkwell.functions.markdown import section_structs
-from inkwell.operators.changes import change_actions, first_root_wins, pruned, replaced
+from inkwell.operators.changes import change_actions, first_root_wins, pruned
 from inkwell.plans.snapshot import Snapshot
-from inkwell.sources.vault import read_vaults
+from inkwell.sources.vault import contents, read_vaults
+
+
+#: Changed files that one task reads and parses.
+FILES_PER_TASK = 256
 
 
 @dataclass
@@ -48,11 +53,13 @@ def guard_model(meta: dict[str, str], model: str, force: bool) -> None:
         raise ValueError(f"the index was built with model {meta['model.text']!r}, the config names {model!r}; run rebuild")
 
 
-def run(spark: SparkSession, ws: Workspace, roots: list[str], force: bool = False, fresh: bool = False, now: int | None = None) -> Report:
-    """Index the roots. `force` re-embeds unchanged files too, `fresh` also forgets what is stored.
+def run(spark: SparkSession, ws: Workspace, roots: list[str], force: bool = False, fresh: bool = False, now: int | None = None, found: DataFrame | None = None) -> Report:
+    """Index the roots. `force` re-embeds unchanged files too, `fresh` also forgets what is stored; `found` gives the files of a
+    root instead of a walk, and then nothing is pruned.
 
     A missing root is warned about and its documents stay. Documents under a walked root that were not found are removed. An
-    unchanged file keeps all its stored columns. Nothing is published if any step fails.
+    unchanged file keeps all its stored columns. Nothing is published if any step fails. Steps are written to the store's folder
+    until the run ends, so a lost executor costs its tasks only and all tables see one reading of each file.
     """
     ship(spark)
     store = Snapshot(spark, ws.store)
@@ -69,35 +76,39 @@ def run(spark: SparkSession, ws: Workspace, roots: list[str], force: bool = Fals
             walked.append(real)
         else:
             print(f"warning: skipping missing vault {root}", file=sys.stderr)
-    old = {name: store.table(name) for name in ("documents", "chunks", "links")}
+    stored = store.table("documents")
     if fresh:
-        old = {name: df.limit(0) for name, df in old.items()}
+        stored = stored.limit(0)
+
+    staging = f"run-{uuid.uuid4().hex}"
+
+    def staged(df: DataFrame, name: str) -> DataFrame:
+        path = store.files.at(f"{staging}/{name}")
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
-    found = read_vaults(spark, walked, ws.config.ignore.globs).withColumn("content_hash", F.unhex(F.sha2("content", 256)))
-    found = found.persist()
     try:
+        prune = found is None
+        found = staged(read_vaults(spark, walked, ws.config.ignore.globs) if prune else found, "found")
         scanned = found.count()
-        acted = change_actions(first_root_wins(found), old["documents"], force)
-        todo = acted.where("action = 'index'")
-        parsed = todo.withColumn("note", T.parsed(F.col("path"), T.lossy_utf8(F.col("content"))))
+        acted = staged(change_actions(first_root_wins(found), stored, force), "acted")
+        counts = {r["action"]: r["count"] for r in acted.groupBy("action").count().collect()}
+        todo = acted.where("action = 'index'").drop("action", "root_ord")
+        read = contents(todo.repartition(max(1, -(-counts.get("index", 0) // FILES_PER_TASK))))
+        parsed = staged(read.withColumn("note", T.parsed(F.col("path"), T.lossy_utf8(F.col("content")))).drop("content"), "parsed")
         stamp = F.lit(int(time.time()) if now is None else now).cast("long")
         docs = parsed.select("path", "kind", "source_root", "content_hash", "mtime", F.col("note.title").alias("title"), F.col("note.frontmatter").alias("frontmatter"), stamp.alias("indexed_at"))
         pieces = chunk_rows(parsed.select("path", F.col("note.body").alias("body")), chunking.max_tokens, chunking.overlap)
         chunks = pieces.select("path", "ord", F.lit("text").alias("space"), F.lit("text").alias("modality"), "text", "heading_path", embedded(T.embed_input(F.col("heading_path"), F.col("text")), model).alias("vector"))
         links = parsed.select(F.col("path").alias("src_path"), F.explode("note.links").alias("dst"))
-        dead = pruned(old["documents"], found, walked)
-        gone = dead.select("path").unionByName(todo.select("path"))
-        by_src = gone.withColumnRenamed("path", "src_path")
-        counts = {r["action"]: r["count"] for r in acted.groupBy("action").count().collect()}
+        dead = staged(pruned(stored, found, walked if prune else []).select("path"), "dead")
         deleted = dead.count()
-        store.publish(
-            {"documents": replaced(old["documents"], gone, docs), "chunks": replaced(old["chunks"], gone, chunks), "links": replaced(old["links"], by_src, links, key="src_path")},
-            {"model.text": model, "dim.text": str(dim), "chunk": settings},
-        )
+        gone = dead.unionByName(todo.select("path"))
+        store.publish(gone, {"documents": docs, "chunks": chunks, "links": links}, {"model.text": model, "dim.text": str(dim), "chunk": settings}, stored.count() + counts.get("index", 0), fresh)
         new = store.table("chunks").join(todo.select("path"), "path", "left_semi").count() if counts.get("index") else 0
         return Report(scanned, counts.get("index", 0), counts.get("skip", 0), deleted, new)
     finally:
-        found.unpersist()
+        store.files.delete(staging)
 
 
 def forget(spark: SparkSession, ws: Workspace, root: str) -> int:
@@ -109,12 +120,5 @@ def forget(spark: SparkSession, ws: Workspace, root: str) -> int:
     dead = docs.where(F.col("source_root") == root).select("path")
     n = dead.count()
     if n:
-        store.publish(
-            {
-                "documents": docs.where(F.col("source_root") != root),
-                "chunks": store.table("chunks").join(dead, "path", "left_anti"),
-                "links": store.table("links").join(dead.withColumnRenamed("path", "src_path"), "src_path", "left_anti"),
-            },
-            store.meta(),
-        )
+        store.publish(dead, {}, store.meta(), docs.count())
     return n

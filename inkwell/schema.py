@@ -30,6 +30,8 @@ FOUND = StructType([
     StructField("source_root", StringType()),
     StructField("root_ord", IntegerType()),
     StructField("mtime", LongType()),
-    StructField("content", BinaryType()),
+    StructField("content_hash", BinaryType()),
 ])
+#: The column of each table that holds the path of its document.
+KEYS = {"documents": "path", "chunks": "path", "links": "src_path"}
 TABLES = {"documents": DOCUMENTS, "chunks": CHUNKS, "links": LINKS}

@@ -1,3 +1,4 @@
+import hashlib
 import os
 from pathlib import Path
 
@@ -8,7 +9,9 @@ from inkwell.config import Config, Workspace, canonical
 from inkwell.operators.search import search
 from inkwell.plans import indexer
 from inkwell.plans.snapshot import Snapshot
+from inkwell.sources import vault as vault_source
 from inkwell.sources.vault import Rules, discover
+from inkwell.streaming import ingest
 
 NOTES = {
     "coffee.md": "---\ntitle: Brewing Coffee\n---\n\n# Brewing Coffee\n\nHeat water and pour slowly.\n\n## Grind\n\nA medium grind works. See [[espresso]].\n",
@@ -93,6 +96,95 @@ def test_command_line(spark, vault, tmp_path, monkeypatch, capsys):
     assert main("-g", "-c", "x.toml", "status")[0] == 1
 
 
+def tree(root):
+    return sorted(str(p.relative_to(root)) for p in Path(root).rglob("*") if p.is_file() and not p.name.startswith("."))
+
+
+def test_publish_rewrites_touched_buckets_only(spark, vault, tmp_path, monkeypatch):
+    monkeypatch.setattr("inkwell.plans.snapshot.DOCS_PER_BUCKET", 1)
+    run = lambda: counts(indexer.run(spark, vault, vault.roots(), now=7))
+    assert run() == (4, 4, 0, 0, 7)
+    store = Snapshot(spark, vault.store)
+    first = store.manifest()
+    assert first["buckets"] == 4
+    rows = lambda: sorted(map(str, store.table("chunks").collect() + store.table("documents").collect()))
+    before = rows()
+    (tmp_path / "vault" / "rust.md").write_text("# Borrow Checker\n\nEdited.\n")
+    assert run() == (4, 1, 3, 0, 1)
+    second = store.manifest()
+    changed = [k for k, f in second["tables"]["documents"].items() if f != first["tables"]["documents"].get(k)]
+    assert len(changed) == 1 and len(second["tables"]["documents"]) > 1
+    assert [r for r in rows() if "rust.md" not in r] == [r for r in before if "rust.md" not in r] and rows() != before
+    assert run() == (4, 0, 4, 0, 0) and run() == (4, 0, 4, 0, 0)
+    used = {f for t in store.manifest()["tables"].values() for f in t.values()}
+    assert {str(Path(p).parent) for p in tree(vault.store) if p.endswith(".parquet")} == used
+    for k in range(30):
+        (tmp_path / "vault" / f"n{k}.md").write_text(f"# N{k}\n\nbody {k}\n")
+    assert run() == (34, 30, 4, 0, 30) and store.manifest()["buckets"] == 34 and store.table("documents").count() == 34
+    assert indexer.forget(spark, vault, str(tmp_path / "vault")) == 34 and store.table("chunks").count() == 0 == store.table("documents").count()
+
+
+def test_a_failed_run_leaves_the_index_as_it_was(spark, vault, tmp_path, monkeypatch):
+    indexer.run(spark, vault, vault.roots())
+    store = Snapshot(spark, vault.store)
+    before, version = tree(vault.store), store.version()
+    (tmp_path / "vault" / "new.md").write_text("# New\n")
+    monkeypatch.setattr(Snapshot, "_buckets", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        indexer.run(spark, vault, vault.roots())
+    assert store.version() == version and store.table("documents").count() == 4 and set(before) <= set(tree(vault.store))
+    monkeypatch.undo()
+    assert counts(indexer.run(spark, vault, vault.roots()))[:2] == (5, 1)
+
+
+def test_tasks_walk_below_the_folders_that_the_driver_lists(spark, tmp_path):
+    for name in ("a.md", "x/b.md", "x/y/c.md", "x/y/z/d.md", "w/e.md", "w/out/f.md", ".git/g.md", "v/.h/i.md"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "w/.gitignore").write_text("out/\n")
+    root = canonical(tmp_path)
+    want = sorted((p, Path(p).read_bytes()) for p in discover(root, []))
+    assert len(want) == 5
+    for folders in (1, 2, 3, 100):
+        found = vault_source.read_vaults(spark, [root], [], folders=folders)
+        assert sorted(r["path"] for r in found.collect()) == [p for p, _ in want]
+    assert sorted((r["path"], bytes(r["content"])) for r in vault_source.contents(found).collect()) == want
+    assert all(hashlib.sha256(r["content"]).digest() == r["content_hash"] for r in vault_source.contents(found).collect())
+    (tmp_path / "a.md").unlink()
+    assert vault_source.contents(found.where("path LIKE '%/a.md'")).count() == 0
+
+
+def test_stream_indexes_what_it_sees(spark, vault, tmp_path):
+    root = tmp_path / "vault"
+    (root / ".hidden").mkdir()
+    (root / ".hidden" / "no.md").write_text("# No\n")
+    (root / "with space+%.md").write_text("# Odd name\n\nx\n")
+    step = lambda: ingest.watch(spark, vault, str(root), str(tmp_path / "checkpoint"), once=True).awaitTermination()
+    step()
+    store = Snapshot(spark, vault.store)
+    assert {Path(r["path"]).name for r in store.table("documents").collect()} == {*NOTES, "with space+%.md"}
+    (root / "late.md").write_text("# Late\n\ny\n")
+    (root / "rust.md").unlink()
+    version = store.version()
+    step()
+    assert store.version() != version and store.table("documents").count() == 6
+    assert counts(indexer.run(spark, vault, vault.roots())) == (5, 0, 5, 1, 0)
+
+
+def test_finds_agrees_with_the_walk(tmp_path):
+    names = ("a.md", "X.MD", "n.txt", ".h/x.md", "_d.md", "node_modules/a.md", "sub/b.md", "out/c.md", "out/keep.md", ".md")
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    (tmp_path / ".git").mkdir()
+    (tmp_path / ".gitignore").write_text("/out/*\n!keep.md\n")
+    os.symlink(tmp_path / "sub", tmp_path / "link")
+    root = canonical(tmp_path)
+    walker = vault_source.Walker(root, ["node_modules/**"])
+    assert {p for n in (*names, "link/b.md", "gone.md") if walker.finds(p := f"{root}/{n}")} == set(discover(root, ["node_modules/**"]))
+    assert not walker.finds("/elsewhere/a.md")
+
+
 def test_discovery(tmp_path):
     for name in ("a.md", "X.MD", "notes.txt", ".hidden/x.md", "_draft.md", "with space.md", "node_modules/a.md", "sub/node_modules/b.md", ".md", "out/c.md", "out/keep.md", "deep/out/d.md"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
