@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +32,111 @@ def top_k(rows: DataFrame, k: int, *ties: str) -> DataFrame:
     return rows.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
+#: Bytes of query vectors that travel to the workers in one pass over the rows.
+PASS_BYTES = 16 << 20
+
+
+def _by_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers and matrix of the vectors of each length; null elements become NaN."""
+    size = np.diff(np.asarray(column.offsets))
+    for n in np.unique(size[size > 0]):
+        rows = np.flatnonzero(size == n)
+        flat = column.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False)
+        yield rows, flat.astype(np.float64).reshape(len(rows), n)
+
+
+def _scores(queries: list[tuple[np.ndarray, np.ndarray]], n: int, column: pa.Array) -> np.ndarray:
+    """Inner products of all queries with the vectors of a column, by the rules of dot() and scored()."""
+    out = np.zeros((n, len(column)))
+    for rows, x in _by_length(column):
+        for own, q in queries:
+            if q.shape[1] == x.shape[1]:
+                out[np.ix_(own, rows)] = q @ x.T
+    return np.where(np.isnan(out), -np.inf, out)
+
+
+def _each_pass(queries: DataFrame, key: str, vector: str) -> Iterator[tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Keys and vectors of the queries with a vector, in passes of about PASS_BYTES, so that what travels is bounded however many there are."""
+    known = queries.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    total = known.agg(F.sum(F.size("vector").cast("long") * 8 + 8)).first()[0] or 0
+    parts = max(1, -(-total // PASS_BYTES))
+    for part in range(parts):
+        own = known.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part).toArrow().combine_chunks()
+        if len(own):
+            yield own.column("key").to_numpy(), list(_by_length(own.column("vector").combine_chunks()))
+
+
+def search_each(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, rank, vec_id, score): for each of the queries the k rows of highest inner product, ties in order of the key, which is a number.
+
+    The rows stay where they are; the queries travel to them in passes of PASS_BYTES, and each task keeps k rows of a query,
+    so what is shuffled grows with queries and tasks, not with the rows. Null vectors are left out on both sides.
+    """
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    out = None
+    for ids, parts in _each_pass(queries, key, vector):
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, parts))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, parts = sent.value
+            q, s, other = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+            for b in batches:
+                score = _scores(parts, len(ids), b.column("vector"))
+                if b.num_rows > k > 0:
+                    near = score >= np.partition(score, b.num_rows - k, axis=1)[:, b.num_rows - k, None]
+                else:
+                    near = np.full(score.shape, k > 0)
+                at, col = np.nonzero(near)
+                q, s, other = np.concatenate([q, at]), np.concatenate([s, score[at, col]]), np.concatenate([other, b.column("key").to_numpy()[col]])
+                order = np.lexsort((other, -s, q))
+                q, s, other = q[order], s[order], other[order]
+                keep = np.arange(len(q)) - np.searchsorted(q, q) < k
+                q, s, other = q[keep], s[keep], other[keep]
+            yield pa.record_batch([pa.array(ids[q]), pa.array(other), pa.array(s)], ["query_id", key, "score"])
+
+        found = rows.mapInArrow(run, f"query_id long, `{key}` long, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
+    at = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(at)).where(F.col("rank") <= k).select("query_id", "rank", key, "score")
+
+
+def count_near(vectors: DataFrame, queries: DataFrame, least: float, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(query_id, links): for each of the queries, how many other rows have an inner product of at least `least` with it."""
+    rows = vectors.where(F.col(vector).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("vector"))
+    out = vectors.sparkSession.createDataFrame([], "query_id long, links long")
+    for ids, parts in _each_pass(queries, key, vector):
+        sent = vectors.sparkSession.sparkContext.broadcast((ids, parts))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            ids, parts = sent.value
+            links = np.zeros(len(ids), np.int64)
+            for b in batches:
+                near = _scores(parts, len(ids), b.column("vector")) >= least
+                links += (near & (ids[:, None] != b.column("key").to_numpy()[None, :])).sum(axis=1)
+            yield pa.record_batch([pa.array(ids), pa.array(links)], ["query_id", "links"])
+
+        out = out.unionByName(rows.mapInArrow(run, "query_id long, links long"))
+    return out.groupBy("query_id").agg(F.sum("links").alias("links"))
+
+
+def best_pairs(rows: DataFrame, own: DataFrame) -> DataFrame:
+    """(path, score): the highest inner product of each document's vectors with any of own(vector)."""
+    known = rows.select("path", F.col("vector").cast("array<double>").alias("vector"))
+    out = rows.sparkSession.createDataFrame([], "path string, score double")
+    for ids, parts in _each_pass(own.withColumn("key", F.xxhash64("vector")), "key", "vector"):
+        sent = rows.sparkSession.sparkContext.broadcast((len(ids), parts))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            n, parts = sent.value
+            for b in batches:
+                yield pa.record_batch([b.column("path"), pa.array(_scores(parts, n, b.column("vector")).max(axis=0))], ["path", "score"])
+
+        out = out.unionByName(known.mapInArrow(run, "path string, score double"))
+    return out.groupBy("path").agg(F.max("score").alias("score"))
+
+
 def search(documents: DataFrame, chunks: DataFrame, query: Sequence[float], limit: int = 10, roots: Sequence[str] = (), spaces: Sequence[str] = ("text",)) -> DataFrame:
     """(rank, path, title, source_root, heading_path, text, score): the documents whose best window is nearest to the query.
 
@@ -52,9 +159,7 @@ def search(documents: DataFrame, chunks: DataFrame, query: Sequence[float], limi
 def related(documents: DataFrame, chunks: DataFrame, links: DataFrame, path: str, limit: int = 10, include_linked: bool = False) -> DataFrame:
     """(rank, path, title, score): documents by the best pair of windows with the note at `path`, without those that it links to by stem or path."""
     text = chunks.where("space = 'text' AND vector IS NOT NULL").select("path", "ord", "vector")
-    own = text.where(F.col("path") == path).select(F.col("vector").alias("query"))
-    other = text.where(F.col("path") != path)
-    rows = scored(other.crossJoin(F.broadcast(own)), F.col("vector"), F.col("query")).groupBy("path").agg(F.max("score").alias("score"))
+    rows = best_pairs(text.where(F.col("path") != path), text.where(F.col("path") == path).select("vector"))
     rows = rows.join(documents.select("path", "title"), "path")
     if not include_linked:
         stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)

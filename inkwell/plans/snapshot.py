@@ -8,6 +8,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkwell.operators.changes import replaced
 from inkwell.plans.storage import Storage
 from inkwell.schema import KEYS, TABLES
 
@@ -69,9 +70,7 @@ class Snapshot:
             key = KEYS[table]
             folders = old["tables"][table]
             kept = self._read(table, [f for k, f in folders.items() if touched is None or k in touched])
-            rows = kept.join(gone.select(F.col("path").alias(key)).distinct(), key, "left_anti").select(*schema.names)
-            if table in new:
-                rows = rows.unionByName(new[table].select(*schema.names))
+            rows = replaced(kept, gone.select(F.col("path").alias(key)), new.get(table, kept.limit(0)), key).select(*schema.names)
             self._write(rows, bucket(key), f"{name}/{table}", len(touched) if touched is not None else buckets)
             written = self._buckets(f"{name}/{table}", touched if touched is not None else map(str, range(buckets)))
             tables[table] = {k: f for k, f in folders.items() if touched is not None and k not in touched} | written
