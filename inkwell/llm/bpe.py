@@ -77,22 +77,31 @@ class Encoder:
         return known
 
     def _fit(self, a: int, b: int) -> bool:
-        limit = len(self.tokens) + 1
+        """Plays the merges at the seam in order of rank. A token grows through its spine: on the left of the seam the tokens that a ends with
+        while it is built, on the right those that b begins with; a spine's token lives until the next one's rank. Of merges of
+        equal rank the leftmost comes first.
+        """
+        left, right = self._spine(a, 1), self._spine(b, 0)
+        never = len(self.tokens)
+        x, y = left.pop(), right.pop()
         while True:
-            if self.merged.get((a, b), limit) < limit:
+            x_ends, y_ends = left[-1] if left else never, right[-1] if right else never
+            across = self.merged.get((x, y), never)
+            if across < x_ends and across <= y_ends and across < never:
                 return False
-            if a > b:
-                limit, a = a, self.parts[a][1]
-                if a == limit:
-                    limit, b = b + 1, self.parts[b][0]
-                    if b + 1 == limit:
-                        return True
+            if x_ends <= y_ends:
+                if not left:
+                    return True
+                x = left.pop()
             else:
-                limit, b = b + 1, self.parts[b][0]
-                if b + 1 == limit:
-                    limit, a = a, self.parts[a][1]
-                    if a == limit:
-                        return True
+                y = right.pop()
+
+    def _spine(self, token: int, side: int) -> list[int]:
+        """The token, its part on the side, that one's part, and so on to a token without parts."""
+        out = [token]
+        while (part := self.parts[out[-1]][side]) != out[-1]:
+            out.append(part)
+        return out
 
     def encode_words(self, words: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
         """Distinct words with their encodings.
