@@ -122,7 +122,11 @@ def _ip(f: Feistel, s: str) -> str | None:
     plain = max(octets) < 256 and s == ".".join(map(str, octets))
     if not plain or not _routable(octets):
         return None
-    return ".".join(map(str, f.walk(octets, [256] * 4, "ip", _routable)))
+    # Each octet keeps its number of digits, so the text keeps its length.
+    low = [0 if o < 10 else 10 if o < 100 else 100 for o in octets]
+    sizes = [{0: 10, 10: 90, 100: 156}[x] for x in low]
+    out = f.walk([o - x for o, x in zip(octets, low)], sizes, f"ip{low}", lambda d: _routable([x + y for x, y in zip(d, low)]))
+    return ".".join(str(x + y) for x, y in zip(out, low))
 
 
 def _routable(octets: Sequence[int]) -> bool:
