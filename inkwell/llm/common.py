@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -21,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from inkwell.operators.partitions import spread
+from inkwell.plans.scratch import scratch_dir
 
 WORD_SQL = r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 ROOT = str(Path(__file__).resolve().parents[2])
@@ -39,7 +39,8 @@ def load_spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) ->
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, so that a run of very long texts cannot fill a Python worker; let workers import this package."""
+    """Bound Arrow batches by bytes as well as rows, so that a run of very long texts cannot fill a Python worker; let workers import this package.
+    The two settings stay as they are set here for the session, since a plan reads them when it runs."""
     paths = spark.sparkContext.environment.setdefault("PYTHONPATH", "")
     if ROOT not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, paths]))
@@ -47,28 +48,38 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a temporary one only where it is unset and the master is local."""
-    if base := spark.conf.get("spark.checkpoint.dir", ""):
-        return base
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isDefined():
-        return current.get()
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkwell-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+#: Paths of materialised tables by application, in order.
+_written: dict[str, list[str]] = {}
 
 
 def materialize(df: DataFrame, name: str, *partition: str) -> DataFrame:
     """Write df once to the shared folder, in folders by the partition columns, and read it back: lineage is cut, and a lost executor
     costs no recomputation."""
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    own = spark.sparkContext.applicationId
+    path = f"{scratch_dir(spark)}/{own}/{name}-{uuid.uuid4().hex}"
+    _written.setdefault(own, []).append(path)
     df.write.partitionBy(*partition).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(df: DataFrame, name: str, mark: int) -> DataFrame:
+    """df materialised; what was materialised since written() was `mark`, only to make it, is deleted."""
+    out = materialize(df, name)
+    spark = df.sparkSession
+    own = _written[spark.sparkContext.applicationId]
+    for path in own[mark:-1]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    own[mark:] = own[-1:]
+    return out
+
+
+def written(spark: SparkSession) -> int:
+    """How many tables this application has materialised and not deleted."""
+    return len(_written.get(spark.sparkContext.applicationId, ()))
+
+
 def quoted(columns: list[str]) -> list[Column]:
     """Columns by name, whatever characters the names have."""
     return [F.col(f"`{c.replace('`', '``')}`") for c in columns]
@@ -235,9 +246,3 @@ def arrow_map(df: DataFrame, columns: list[str], fn: Callable[[Iterator[pa.Recor
 
 def tokenizer_path(name: str) -> str:
     return os.path.join(os.environ.get("INKWELL_TOKENIZERS", "/opt/tokenizers"), name)
-
-
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete what this application has materialised. Call it when no result that reads it is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -260,7 +260,7 @@ def nearest(embeddings: DataFrame, k: int = 10, query: Column | None = None) ->
     CALIBRATION vectors or a wider one of their own, until each has k and a radius to match (searched()). Cosines, in double from the
     unit float vectors, decide among the codes within the radius; equal ones (to 9 digits) go to the smaller id.
 
-    Left out on both sides: null ids, null, empty, zero and non-finite vectors and those not of the most frequent
+    Ids must be numeric. Left out on both sides: null ids, null, empty, zero and non-finite vectors and those not of the most frequent
     length. An id with several vectors counts with the least of them. Of equal vectors the index holds the k+1 of smallest id, as
     no other can be among the k nearest of any query; all of them are queries. Only where the table has fewer than k others does a
     vector get fewer rows. Further columns are ignored; an empty table gives an empty result.

@@ -69,7 +69,8 @@ def decode(margins: np.ndarray, code: np.ndarray) -> np.ndarray:
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
-    """Fit on a sample of about 1.2 * `per_language` labelled rows of each language, chosen by hash of doc_id and text; None without labels."""
+    """Fit on a sample of about 1.2 * `per_language` labelled rows of each language, chosen by hash of doc_id and text; None without labels.
+    Texts under 20 characters say too little to be learnt from and are left out here."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND length(text) >= 20")
     counts = {r["lang"]: r["count"] for r in source.groupBy("lang").count().collect()}
     names = sorted(counts)
@@ -101,7 +102,8 @@ def identify(docs: DataFrame, model: dict | None = None, margin: float = MARGIN)
 
     Null or empty texts and texts under two bytes get predicted = NULL, loss and margin NULL, ambiguous = true. Null
     doc_id and lang pass through, repeated rows each give a row; further columns are ignored; where no row has a usable
-    label, predicted is NULL everywhere; an empty table gives an empty result. Equal losses go to the first name by alphabet.
+    label (one of a text of 20 characters at least), predicted is NULL everywhere; an empty table gives an empty result. Equal losses go to the first name
+    by alphabet, with margin 0, and are ambiguous. Ids must be numeric, texts may be of any length.
     """
     model = model or train(docs)
     schema = "doc_id long, lang string, predicted string, loss double, margin double, ambiguous boolean"

@@ -186,7 +186,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, model: Model | None = Non
     structure statistics and hashed lang and source. It is scored in linear time by the sum-of-squares identity and
     trained on a bounded sample of the labels (train()); words count only where they tell the classes apart.
 
-    Null and empty texts score quality 0 and are not kept. Null doc_id, lang and source are scored as they are; repeated
+    Ids must be numeric, texts may be of any length. Null and empty texts score quality 0 and are not kept. Null doc_id, lang and source are scored as they are; repeated
     rows each give a row; repeated labels count as the worst of them; labels with nulls are ignored. Further columns are
     ignored. Without usable labels every row with text scores quality 1, toxic 0. An empty table gives an empty result.
     """

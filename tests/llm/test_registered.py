@@ -1,13 +1,16 @@
+import re
+
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
+import tiktoken
 from pyspark.sql import functions as F
 from tests.llm.test_operators import scanned_everywhere
 from tests.test_queries import compare
 
-from inkwell.llm import pii, quality, queries
-from inkwell.llm.bpe import encoder, split_words
+from inkwell.llm import common, langid, pii, quality, queries
+from inkwell.llm.bpe import SPLIT, encoder, split_words
 from inkwell.llm.common import load, tokenizer_path
 
 
@@ -64,6 +67,71 @@ def test_quality_as_registered(spark):
                 assert abs(got[head][r.doc_id] - want) < 1e-3
 
 
+def test_bpe_as_registered(spark):
+    """Every text's tokens against a public implementation, and back."""
+    sf_dir = "/root/testdata/sf0.001"
+    e = encoder(tokenizer_path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=e.ranks, special_tokens={})
+    texts = {r["doc_id"]: r["text"] for r in load(spark, sf_dir, "documents").collect()}
+    rows = queries.QUERIES["op1_bpe"](spark, sf_dir).collect()
+    assert {r["doc_id"]: r["tokens"] for r in rows} == {k: plain.encode_ordinary(t) for k, t in texts.items()}
+    assert all(r["round_trip"] and plain.decode(r["tokens"]) == texts[r["doc_id"]] for r in rows)
+
+
+def test_leaks_as_registered(spark):
+    """Every document and item against the whole table of edit distances, filled row by row."""
+    sf_dir = "/root/testdata/sf0.001"
+    plain = lambda t: " ".join(re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", t.lower())).encode()
+    docs = [(r["doc_id"], plain(r["text"])) for r in load(spark, sf_dir, "documents").collect()]
+    # All texts in one row, apart by more of a byte that no item has than any item has edits.
+    gap = b"\x00" * 200
+    data = np.frombuffer(gap + gap.join(t for _, t in docs), np.uint8)
+    owner = np.concatenate([np.full(len(t) + len(gap), k) for k, (_, t) in enumerate(docs)])
+    steps, want = np.arange(len(data) + 1, dtype=np.int32), set()
+    for r in load(spark, sf_dir, "benchmark").collect():
+        item = plain(r["text"])
+        row = np.zeros(len(data) + 1, np.int32)
+        for n, c in enumerate(item, 1):
+            new = np.empty_like(row)
+            new[0] = n
+            np.minimum(row[:-1] + (data != c), row[1:] + 1, out=new[1:])
+            row = np.minimum.accumulate(new - steps) + steps
+        best = np.full(len(docs), 10**6)
+        np.minimum.at(best, owner, row[1:])
+        want |= {(docs[k][0], r["item_id"], int(best[k])) for k in np.flatnonzero(best <= len(item) // 10)}
+    assert {tuple(r) for r in queries.QUERIES["op8_leaks"](spark, sf_dir).collect()} == want and want
+
+
+def test_language_as_registered(spark):
+    """Every text against grams counted one by one, margins summed by bit, and losses compared by language."""
+    sf_dir = "/root/testdata/sf0.001"
+    docs = load(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    got = {r["doc_id"]: r for r in queries.QUERIES["op10_language_id"](spark, sf_dir).collect()}
+    rows = docs.collect()
+    for r in rows:
+        raw, counts = r["text"].lower().encode(), {}
+        for k in range(len(raw) - 1):
+            for size in (2, 3):
+                if k + size <= len(raw):
+                    number = int.from_bytes(raw[k : k + size], "little") + (1 << 24) * (size == 2)
+                    at = (number * 0x9E3779B1 % (1 << 32)) >> 20
+                    counts[at] = counts.get(at, 0) + 1
+        norm = sum(counts.values()) ** 0.5
+        margins = sum(n**0.5 / norm * model["w"][at].astype(float) for at, n in counts.items()) + model["b"]
+        loss = sorted((sum(np.log1p(np.exp(-m * c)) for m, c in zip(margins, code)) / len(code), name) for name, code in zip(model["names"], model["code"]))
+        own = got[r["doc_id"]]
+        assert abs(own["loss"] - loss[0][0]) < 1e-3 and abs(own["margin"] - (loss[1][0] - loss[0][0])) < 2e-3
+        assert own["predicted"] == loss[0][1] or loss[1][0] - loss[0][0] < 1e-3
+    assert np.mean([got[r["doc_id"]]["predicted"] == r["lang"] for r in rows if len(r["text"]) > 200]) > 0.9
+
+
+def test_pipeline_leaves_one_table(spark):
+    before = common.written(spark)
+    corpus_pipeline.run(spark, "/root/testdata/sf0.001").count()
+    assert common.written(spark) == before + 1
+
+
 def test_pipeline_stage_by_stage(spark):
     """Each stage's decisions against its operator's own output, and the last one's tokens against plain merging."""
     sf_dir = "/root/testdata/sf0.001"
