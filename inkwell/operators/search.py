@@ -162,7 +162,11 @@ def related(documents: DataFrame, chunks: DataFrame, links: DataFrame, path: str
     rows = best_pairs(text.where(F.col("path") != path), text.where(F.col("path") == path).select("vector"))
     rows = rows.join(documents.select("path", "title"), "path")
     if not include_linked:
-        stem = F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)
-        targets = links.where(F.col("src_path") == path).select(F.lower("dst").alias("dst"))
-        rows = rows.withColumn("stem", F.lower(stem)).join(targets, (F.col("stem") == F.col("dst")) | F.lower("path").endswith(F.concat(F.lit("/"), F.col("dst"), F.lit(".md"))), "left_anti").drop("stem")
+        # What a link can name a note by: its stem, and each end of its path that begins behind a slash, without `.md`.
+        steps = F.split(F.lower("path"), "/")
+        ends = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.regexp_extract(F.array_join(F.slice(steps, k, F.size(steps)), "/"), r"^(.*)\.md$", 1))
+        names = F.array_append(F.slice(ends, 2, F.size(ends)), F.lower(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1)))
+        targets = links.where(F.col("src_path") == path).select(F.lower("dst").alias("name")).distinct()
+        linked = rows.select("path", F.explode(names).alias("name")).join(targets, "name", "left_semi").select("path")
+        rows = rows.join(linked, "path", "left_anti")
     return top_k(rows, limit, "path").select("rank", "path", "title", F.col("score").cast("float").alias("score")).orderBy("rank")
