@@ -15,6 +15,8 @@ from inkwell.llm.common import arrow_map, load_spread, text_slices, utf8
 
 BINS = 4096
 PER_LANGUAGE = 1000
+#: Languages that a model tells apart: the most frequent ones, so that a column of stray values can't swell it.
+LANGUAGES = 256
 MARGIN = 0.15
 
 
@@ -72,11 +74,11 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> dict | None:
     """Fit on a sample of about 1.2 * `per_language` labelled rows of each language, chosen by hash of doc_id and text; None without labels.
     Texts under 20 characters say too little to be learnt from and are left out here."""
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").where("lang IS NOT NULL AND length(text) >= 20")
-    counts = {r["lang"]: r["count"] for r in source.groupBy("lang").count().collect()}
+    counts = {r["lang"]: r["count"] for r in source.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     names = sorted(counts)
     if not names:
         return None
-    bound = F.lit(1.0)
+    source, bound = source.where(F.col("lang").isin(names)), F.lit(1.0)
     for name, n in counts.items():
         bound = F.when(F.col("lang") == name, F.lit(min(1.0, 1.2 * per_language / n))).otherwise(bound)
     thin = source.where((F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / (1 << 30)) < bound)

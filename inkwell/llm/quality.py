@@ -132,19 +132,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(margin(self.heads[head], x)[0].astype(np.float64), -30, 30)))
 
 
-def telling(words: np.ndarray, rows: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """All word buckets whose document frequency differs between the classes by Z_MIN standard errors, in DF_MIN documents at
-    least. Words are distinct in each row."""
-    df, pos = np.bincount(words, minlength=BINS), np.bincount(words[y[rows] > 0], minlength=BINS)
-    rate = y.mean()
-    z = (pos - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate), 1e-9))
-    return np.flatnonzero((df >= DF_MIN) & (np.abs(z) >= Z_MIN))
+def telling(counts: DataFrame, rates: dict[str, float]) -> np.ndarray:
+    """All word buckets whose document frequency differs between the classes of a head by Z_MIN standard errors, in DF_MIN documents at
+    least. counts: bucket, df, and for each head the documents of its positive class."""
+    z = lambda head: F.abs(F.col(head) - F.col("df") * rates[head]) / F.sqrt(F.greatest(F.col("df") * rates[head] * (1 - rates[head]), F.lit(1e-9)))
+    return np.sort(counts.where((F.col("df") >= DF_MIN) & (F.greatest(z("quality"), z("toxic")) >= Z_MIN)).select("bucket").toArrow().column("bucket").to_numpy()).astype(np.int32)
 
 
-def fit(words: list[np.ndarray], stats: np.ndarray, meta: np.ndarray, quality: np.ndarray, toxic: np.ndarray) -> Model:
+def fit(words: list[np.ndarray], stats: np.ndarray, meta: np.ndarray, quality: np.ndarray, toxic: np.ndarray, chosen: np.ndarray) -> Model:
+    """Both heads over the chosen buckets. words: distinct ones of each row."""
     flat, bounds = np.concatenate(words), np.concatenate([[0], np.cumsum([len(w) for w in words])])
-    rows = np.repeat(np.arange(len(words), dtype=np.int32), np.diff(bounds))
-    chosen = np.unique(np.concatenate([telling(flat, rows, y) for y in (quality, toxic)]))
     model = Model(chosen.astype(np.int32), stats.mean(axis=0), stats.std(axis=0) + 1e-3)
     x = model.features(flat, bounds, stats, meta)
     model.heads = {"quality": fit_head(x, quality, len(chosen)), "toxic": fit_head(x, toxic, len(chosen))}
@@ -160,19 +157,47 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([*columns, pa.array(packed, pa.binary()), pa.array([x.tobytes() for x in stats], pa.binary()), pa.array([m.astype(np.int16).tobytes() for m in meta], pa.binary())], ["doc_id", "quality", "toxic", "words", "stats", "meta"])
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Document frequencies of the word buckets in a task's rows, and in those of each head's positive class."""
+    total = np.zeros((3, BINS), np.int64)
+    for b in batches:
+        for words, q, t in zip(b.column("words").to_pylist(), b.column("quality").to_pylist(), b.column("toxic").to_pylist()):
+            own = np.frombuffer(words, np.int32)
+            for row, positive in zip(total, (1, q, t)):
+                if positive > 0:
+                    row[own] += 1
+    at = np.flatnonzero(total[0])
+    yield pa.record_batch([pa.array(at), *(pa.array(row[at]) for row in total)], ["bucket", "df", "quality", "toxic"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` labelled documents, those of smallest hash of doc_id. None where no label meets a text."""
+    """Fit on at most `sample` labelled documents, those of smallest hash of doc_id. None where no label meets a text.
+
+    Words are counted where the texts are; the driver gets the telling ones of each row alone.
+    """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"), F.col("toxic").cast("int").alias("toxic"))
     marked = marked.where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     chosen = materialize(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "labels")
     rows = _source(docs).where("text IS NOT NULL").join(sized(chosen, chosen.count()), "doc_id")
-    table = arrow_map(rows, ["doc_id", "text", "lang", "source", "quality", "toxic"], _featured, "doc_id long, quality int, toxic int, words binary, stats binary, meta binary").toArrow()
-    if not len(table):
+    schema = "doc_id long, quality int, toxic int, words binary, stats binary, meta binary"
+    rows = materialize(arrow_map(rows, ["doc_id", "text", "lang", "source", "quality", "toxic"], _featured, schema), "featured")
+    n, q, t = rows.agg(F.count("*"), F.avg((F.col("quality") > 0).cast("int")), F.avg((F.col("toxic") > 0).cast("int"))).first()
+    if not n:
         return None
-    table = table.sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    counts = arrow_map(rows, ["words", "quality", "toxic"], _counted, "bucket long, df long, quality long, toxic long").groupBy("bucket").agg(*[F.sum(c).alias(c) for c in ("df", "quality", "toxic")])
+    buckets = telling(counts, {"quality": q, "toxic": t})
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.zeros(BINS, bool)
+        known[buckets] = True
+        for b in batches:
+            words = [(w := np.frombuffer(v, np.int32))[known[w]].tobytes() for v in b.column("words").to_pylist()]
+            yield b.set_column(b.schema.get_field_index("words"), "words", pa.array(words, pa.binary()))
+
+    table = arrow_map(rows, rows.columns, kept, schema).toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending"), ("stats", "ascending")])
     unpack = lambda c, t: [np.frombuffer(v, t) for v in table.column(c).to_pylist()]
     q, t = (table.column(c).to_numpy().astype(np.float32) for c in ("quality", "toxic"))
-    return fit(unpack("words", np.int32), np.stack(unpack("stats", np.float32)), np.stack(unpack("meta", np.int16)).astype(np.int64), q, t)
+    return fit(unpack("words", np.int32), np.stack(unpack("stats", np.float32)), np.stack(unpack("meta", np.int16)).astype(np.int64), q, t, buckets)
 
 
 def _source(docs: DataFrame) -> DataFrame:

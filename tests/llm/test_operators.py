@@ -486,15 +486,21 @@ def test_sparse_rows_equal_dense_ones():
     assert np.allclose(part.dot(p["v"]), (dense @ p["v"])[[3, 0, 1]], atol=1e-4)
 
 
-def test_words_of_whole_texts_count():
-    """Words far beyond any bound of old decide: thousands of telling words, each in few texts, and one at the end of a very long text."""
+def test_words_of_whole_texts_count(spark):
+    """Hundreds of telling words, each in few texts, count all, and so does one at the end of a very long text."""
     rng = random.Random(25)
     bad = [f"bad{k}word" for k in range(900)]
-    rows = [(prose(rng, 30) + (" " + " ".join(rng.sample(bad, 30)) if k % 2 else ""), k % 2) for k in range(1600)]
-    words, bounds, stats = quality.words_and_stats(pa.array([t for t, _ in rows]))
-    y = np.array([b for _, b in rows], np.float32)
-    model = quality.fit([np.unique(words[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], stats, np.zeros((1600, 2), np.int64), 1 - y, y)
+    rows = [(k, prose(rng, 30) + (" " + " ".join(rng.sample(bad, 30)) if k % 2 else "")) for k in range(1600)]
+    marks = spark.createDataFrame([(k, 1 - k % 2, k % 2) for k in range(1600)], "doc_id long, quality int, toxic int")
+    model = quality.train(table(spark, rows), marks)
     assert len(model.buckets) > 700
+    df, pos = Counter(), Counter()
+    for k, t in rows:
+        for w in set(quality.words_and_stats(pa.array([t]))[0].tolist()):
+            df[w] += 1
+            pos[w] += k % 2
+    want = sorted(w for w, n in df.items() if n >= quality.DF_MIN and abs(pos[w] - n / 2) / (n / 4) ** 0.5 >= quality.Z_MIN)
+    assert model.buckets.tolist() == want
     long = " ".join([prose(rng, 40)] + ["the"] * 200_000)
     words, bounds, stats = quality.words_and_stats(pa.array([long, long + " " + " ".join(bad[:60])]))
     x = model.features(words, bounds, stats, np.zeros((2, 2), np.int64))
