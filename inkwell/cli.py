@@ -52,9 +52,9 @@ def index_roots(ws: Workspace, path: str | None) -> list[str]:
 
 def index(spark: SparkSession, ws: Workspace, path: str | None = None) -> str:
     roots = index_roots(ws, path)
-    print(f"Indexing {len(roots)} vault(s)…")
+    print(f"{len(roots)} folder(s) to look through")
     r = indexer.run(spark, ws, roots)
-    return f"Done: {r.scanned} scanned, {r.indexed} (re)indexed, {r.skipped} unchanged, {r.deleted} removed, {r.chunks} chunks."
+    return f"Of {r.scanned} notes {r.indexed} indexed, {r.skipped} as they were; {r.deleted} gone. {r.chunks} windows written."
 
 
 def rebuild(spark: SparkSession, ws: Workspace) -> str:
@@ -62,9 +62,9 @@ def rebuild(spark: SparkSession, ws: Workspace) -> str:
     roots = ws.roots()
     if not roots:
         raise ValueError(f"no vaults are registered to rebuild; add some to {ws.config_path}")
-    print("Rebuilding index from scratch…")
+    print("A new index is made; the old one serves until it is whole")
     r = indexer.run(spark, ws, roots, force=True, fresh=True)
-    return f"Done: {r.indexed} indexed, {r.chunks} chunks."
+    return f"{r.indexed} notes indexed, {r.chunks} windows written."
 
 
 def opened(spark: SparkSession, ws: Workspace) -> Snapshot:
@@ -126,17 +126,17 @@ def describe(spark: SparkSession, ws: Workspace) -> str:
     docs = store.table("documents")
     s = status(docs, store.table("chunks")).first()
     out = [
-        f"mode:       {'global' if ws.is_global else 'local'}",
-        f"config:     {ws.config_path}",
-        f"database:   {ws.store}",
-        f"text model: {store.meta().get('model.text', ws.config.embed.text.model)}",
-        f"documents:  {s['documents']}",
-        f"chunks:     {s['chunks_text']} text, {s['chunks_image']} image",
-        f"last index: {'never' if s['indexed_at'] is None else str(s['indexed_at']) + ' (unix)'}",
+        f"scope     {'all folders of this user' if ws.is_global else 'this folder'}",
+        f"settings  {ws.config_path}",
+        f"index     {ws.store}",
+        f"model     {store.meta().get('model.text', ws.config.embed.text.model)}",
+        f"notes     {s['documents']}",
+        f"windows   {s['chunks_text']} of text, {s['chunks_image']} of images",
+        f"updated   {'-' if s['indexed_at'] is None else s['indexed_at']} (Unix seconds)",
     ]
     counts = counts_by_root(docs).collect()
     if len(counts) > 1:
-        out += ["vaults:", *(f"  {r['documents']:>6}  {r['source_root']}" for r in counts)]
+        out += [f"notes     {r['documents']} in {r['source_root']}" for r in counts]
     return "\n".join(out)
 
 

@@ -49,8 +49,20 @@ def unit_vectors(embeddings: DataFrame) -> tuple[DataFrame, int]:
 
     if not dims:
         return rows.where("false"), 0
-    unit = arrow_map(rows.where(F.size("v") == dims), ["vec_id", "v"], run, "vec_id long, v array<float>")
-    return materialize(unit.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors"), dims
+    unit = materialize(arrow_map(rows.where(F.size("v") == dims), ["vec_id", "v"], run, "vec_id long, v array<float>"), "vectors")
+    # Only the rows of ids that repeat are shuffled with their vectors.
+    some, others = _split(unit, F.col("vec_id"), 1)
+    return unit if some is None else materialize(others.unionByName(some.groupBy("vec_id").agg(F.min("v").alias("v"))), "vectors"), dims
+
+
+def _split(rows: DataFrame, key: Column, most: int) -> tuple[DataFrame | None, DataFrame]:
+    """The rows whose key more than `most` rows have, None if there are none; and the others."""
+    keyed = rows.withColumn("_key", key)
+    many = materialize(keyed.groupBy("_key").count().where(F.col("count") > most).select("_key"), "many")
+    n = many.count()
+    if not n:
+        return None, rows
+    return tuple(keyed.join(sized(many, n), "_key", how).drop("_key") for how in ("left_semi", "left_anti"))
 
 
 def sampled(vectors: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -284,8 +296,10 @@ def nearest(embeddings: DataFrame, k: int = 10, query: Column | None = None) ->
             yield pa.record_batch([*b.columns, lists, pa.array(np.linalg.norm(y - mean, axis=1).astype(float))], ["vec_id", "v", "code", "off"])
 
     coded = materialize(arrow_map(vectors, ["vec_id", "v"], code, "vec_id long, v array<float>, code array<long>, off double"), "coded")
-    copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
-    indexed = materialize(coded.withColumn("copy", copy).where(F.col("copy") <= k + 1).select("vec_id", "v", "code"), "indexed")
+    copies, indexed = _split(coded.select("vec_id", "v", "code"), F.xxhash64("v"), k + 1)
+    if copies is not None:
+        copy = F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))
+        indexed = materialize(indexed.unionByName(copies.withColumn("copy", copy).where(F.col("copy") <= k + 1).drop("copy")), "indexed")
     queries = materialize(coded if query is None else coded.where(query), "queries")
     order = Window.partitionBy("vec_id").orderBy(F.desc("cosine"), "neighbour_id")
     best = lambda found: materialize(found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "neighbours")

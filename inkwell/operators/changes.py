@@ -19,8 +19,10 @@ def change_actions(found: DataFrame, stored: DataFrame, force: bool = False, key
     return found.join(known, key, "left").withColumn("action", F.when(same, "skip").otherwise("index")).drop("_known")
 
 
-def pruned(stored: DataFrame, seen: DataFrame, walked: Sequence[str], key: str = "path", root: str = "source_root") -> DataFrame:
-    """Stored rows under a walked root that were not seen; other roots' rows are never pruned."""
+def pruned(stored: DataFrame, seen: DataFrame, walked: Sequence[str] | DataFrame, key: str = "path", root: str = "source_root") -> DataFrame:
+    """Stored rows under a walked root that were not seen; other roots' rows are never pruned. walked: names, or a table with the root column."""
+    if isinstance(walked, DataFrame):
+        return stored.join(walked.select(root).distinct(), root, "left_semi").join(seen.select(key), key, "left_anti")
     if not walked:
         return stored.limit(0)
     return stored.where(F.col(root).isin(*walked)).join(seen.select(key), key, "left_anti")

@@ -322,8 +322,7 @@ def change_detection(spark, sf_dir):
 def run_counters(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     a = change_actions(new, old, key="doc_id")
-    roots = [r["source_root"] for r in old.where("source_root <> 'src3'").select("source_root").distinct().collect()]
-    gone = pruned(old, new, roots, key="doc_id").agg(F.count("*").alias("deleted"))
+    gone = pruned(old, new, old.where("source_root <> 'src3'"), key="doc_id").agg(F.count("*").alias("deleted"))
     return a.agg(F.count("*").alias("scanned"), F.count_if(F.col("action") == "index").alias("indexed"), F.count_if(F.col("action") == "skip").alias("skipped")).crossJoin(gone)
 
 
@@ -346,8 +345,7 @@ def root_paths(spark, sf_dir):
 def upsert_snapshot(spark, sf_dir):
     old, new = _versions(spark, sf_dir)
     changed = change_actions(new, old, key="doc_id").where("action = 'index'")
-    roots = [r["source_root"] for r in old.select("source_root").distinct().collect()]
-    gone = pruned(old, new, roots, key="doc_id").select("doc_id").unionByName(changed.select("doc_id"))
+    gone = pruned(old, new, old, key="doc_id").select("doc_id").unionByName(changed.select("doc_id"))
     return replaced(old, gone, changed.drop("action"), key="doc_id").select("doc_id", "source_root", "content_hash")
 
 

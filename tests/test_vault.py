@@ -54,13 +54,13 @@ def test_lifecycle(spark, vault, tmp_path, capsys):
     assert cli.query(spark, vault, "x", limit=0).collect() == []
     with pytest.raises(FileNotFoundError):
         cli.query(spark, vault, "x", roots=[str(tmp_path / "missing")])
-    assert "documents:  5" in cli.describe(spark, vault) and "model" in cli.describe(spark, vault)
+    assert "notes     5" in cli.describe(spark, vault) and "model" in cli.describe(spark, vault)
     vault.config.embed.text.model = "all-MiniLM-L6-v2"
     with pytest.raises(ValueError):
         run()
     with pytest.raises(ValueError):
         cli.query(spark, vault, "x")
-    assert cli.rebuild(spark, vault) == "Done: 5 indexed, 6 chunks."
+    assert cli.rebuild(spark, vault) == "5 notes indexed, 6 windows written."
     assert cli.forget(spark, vault, str(root)).endswith("removed 5 document(s) and unregistered the vault.")
     assert store.table("chunks").count() == store.table("links").count() == 0
     with pytest.raises(ValueError):
@@ -88,7 +88,7 @@ def test_command_line(spark, vault, tmp_path, monkeypatch, capsys):
     assert main("status")[1].out.startswith("No index found")
     assert main("search", "x")[0] == 1
     assert main("init")[0] == 0 and main("init")[0] == 1 and main("init", "--force")[0] == 0
-    assert "4 scanned, 4 (re)indexed, 0 unchanged, 0 removed, 7 chunks" in main("index")[1].out
+    assert "Of 4 notes 4 indexed, 0 as they were; 0 gone. 7 windows written." in main("index")[1].out
     out = main("search", "borrow checker ownership", "--full", "--limit", "1")[1].out.splitlines()
     assert out[0].startswith(" 1. [") and "Borrow Checker  (" in out[0] and out[1].startswith("      § Borrow")
     assert '"rank":1' in main("search", "coffee", "--json")[1].out
