@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +152,45 @@ def test_scratch_is_cleared(spark):
     spark.range(3).write.parquet(path)
     clear_scratch(spark)
     assert not Storage(spark, path).exists(".")
+
+
+@pytest.mark.parametrize("find", [lambda e, q: S.search_each(e, q, 5)], ids=["search_each"])
+def test_many_queries_in_bounded_memory(spark, monkeypatch, find):
+    """A worker's memory follows neither the queries of a pass nor the rows of a batch."""
+    rng, passes = np.random.default_rng(4), []
+    frame = spark.createDataFrame([(k, rng.normal(size=4).tolist()) for k in range(3000)], "vec_id long, embedding array<float>")
+    whole = type(frame).mapInArrow
+    monkeypatch.setattr(type(frame), "mapInArrow", lambda self, run, schema: passes.append(run) or whole(self, run, schema))
+    find(frame, frame)
+    vectors = pa.array(rng.normal(size=(10_000, 4)).tolist(), pa.list_(pa.float64()))
+    batch = pa.record_batch([pa.array(np.arange(10_000)), vectors], ["key", "vector"])
+    passes[0](iter([batch]))
+    tracemalloc.start()
+    got = sum(b.num_rows for b in passes[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(passes) == 1 and got >= 3000 and peak < 100e6
+
+
+def left_to_right(a, b):
+    total = 0.0
+    for x, y in zip(a, b):
+        total += x * y  # sum() would compensate
+    return total
+
+
+def test_equal_vectors_have_equal_scores_wherever_they_stand(spark):
+    """Products of matrices add in an order that depends on their shapes; ties go by the key all the same."""
+    rng = np.random.default_rng(5)
+    kinds = rng.normal(size=(9, 64)).astype(np.float32)
+    rows = [(k, kinds[k % 9].tolist()) for k in range(4613)] + [(5000, [float("inf")] + [1.0] * 63), (5001, [3e38] * 64)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    asked = frame.where("vec_id < 7 OR vec_id > 4999")
+    order = {q: sorted(rows, key=lambda r: (-left_to_right(v, r[1]), r[0])) for q, v in rows[:7]}
+    got = S.search_each(frame, asked, 700).where("query_id < 7").collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, k, r[0]) for q, best in order.items() for k, r in enumerate(best[:700], 1)}
+    own = frame.select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").alias("vector"))
+    best = {r["path"]: r["score"] for r in S.best_pairs(own, own.where("path IN ('0', '1', '2')")).collect()}
+    for i in (3, 12, 4611, 4612, 5000):
+        want = max(left_to_right(rows[q][1], dict(rows)[i]) for q in (0, 1, 2))
+        assert best[str(i)] == want
