@@ -154,7 +154,7 @@ def test_scratch_is_cleared(spark):
     assert not Storage(spark, path).exists(".")
 
 
-@pytest.mark.parametrize("find", [lambda e, q: S.search_each(e, q, 5)], ids=["search_each"])
+@pytest.mark.parametrize("find", [lambda e, q: S.search_each(e, q, 5), lambda e, q: S.count_near(e, q, 0.5)], ids=["search_each", "count_near"])
 def test_many_queries_in_bounded_memory(spark, monkeypatch, find):
     """A worker's memory follows neither the queries of a pass nor the rows of a batch."""
     rng, passes = np.random.default_rng(4), []
@@ -189,6 +189,10 @@ def test_equal_vectors_have_equal_scores_wherever_they_stand(spark):
     order = {q: sorted(rows, key=lambda r: (-left_to_right(v, r[1]), r[0])) for q, v in rows[:7]}
     got = S.search_each(frame, asked, 700).where("query_id < 7").collect()
     assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got} == {(q, k, r[0]) for q, best in order.items() for k, r in enumerate(best[:700], 1)}
+    least = S.search_each(frame, asked, 700).where("query_id = 0 AND rank = 600").first()["score"]
+    links = {r["query_id"]: r["links"] for r in S.count_near(frame, asked, least).collect()}
+    dots = {i: left_to_right(rows[0][1], v) for i, v in rows}
+    assert links[0] == sum(d >= least for i, d in dots.items() if i)
     own = frame.select(F.col("vec_id").cast("string").alias("path"), F.col("embedding").alias("vector"))
     best = {r["path"]: r["score"] for r in S.best_pairs(own, own.where("path IN ('0', '1', '2')")).collect()}
     for i in (3, 12, 4611, 4612, 5000):
