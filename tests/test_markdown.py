@@ -1,5 +1,10 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from inkwell.functions import markdown
 from inkwell.functions.markdown import sections
 
 
@@ -45,3 +50,20 @@ def test_two_headings():
 )
 def test_sections(body, want):
     assert sections(body) == want
+
+
+def test_sections_in_bounded_memory():
+    """A worker holds the sections of a slice of a batch, not those of all its notes."""
+    notes = [f"# H{k}\n\n" + f"word{k} " * 2000 for k in range(2000)] + [None, "", "x" * (3 << 20)]
+    batch = pa.array(notes)
+    tracemalloc.start()
+    sizes = [len(found) for found in markdown._sections.func(iter([batch, batch[:0]]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(sizes) == len(notes) and len(sizes) > 10 and peak < 25e6 < batch.nbytes
+
+
+def test_sections_of_null_empty_and_long_notes(spark):
+    notes = [(k, f"# H{k}\n\n" + f"word{k} " * 3000) for k in range(300)] + [(300, None), (301, ""), (302, "y" * (2 << 20)), (303, "# only")]
+    got = {r["id"]: r["s"] for r in spark.createDataFrame(notes, "id long, body string").coalesce(1).select("id", markdown.section_structs(F.col("body")).alias("s")).collect()}
+    assert {i: None if s is None else [tuple(x) for x in s] for i, s in got.items()} == {i: None if b is None else sections(b) for i, b in notes}
